@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitplanes import op4_bit_planes
+from .langid import op3_language_id
 from .ogg import op7_ogg_media
 from .packing import op8_hierarchical_packing
 from .pieces import op5_sentencepiece
@@ -16,7 +17,7 @@ from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_perplexity_quality, op4_bit_planes, op5_sentencepiece, op7_ogg_media, op8_hierarchical_packing, op9_secret_scan, op10_simhash)}
+    return {f.__name__: f for f in (op2_perplexity_quality, op3_language_id, op4_bit_planes, op5_sentencepiece, op7_ogg_media, op8_hierarchical_packing, op9_secret_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
