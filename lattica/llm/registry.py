@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitplanes import op4_bit_planes
 from .langid import op3_language_id
+from .lines import op1_line_dedup
 from .ogg import op7_ogg_media
 from .packing import op8_hierarchical_packing
 from .pieces import op5_sentencepiece
@@ -18,7 +19,7 @@ from .suffixes import op6_suffix_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_perplexity_quality, op3_language_id, op4_bit_planes, op5_sentencepiece, op6_suffix_repeats, op7_ogg_media, op8_hierarchical_packing, op9_secret_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_perplexity_quality, op3_language_id, op4_bit_planes, op5_sentencepiece, op6_suffix_repeats, op7_ogg_media, op8_hierarchical_packing, op9_secret_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
