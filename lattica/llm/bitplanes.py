@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, documents, table, written
-from .wordcache import SegmentEncoder
+from .wordcache import segment_encoder
 
 MAGIC = b"LPLN0001"
 FOOTER = struct.Struct("<QQQQIII8s")  # documents, ids, places of the document and chunk index, block, planes, blocks, magic
@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, label: str = "planes") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, start = SegmentEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, start = segment_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -116,16 +116,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, label: str = "planes") ->
 
         for b in batches:
             keys, texts = column(b, "doc_id"), column(b, "text")
-            for at in range(0, len(texts), 512):
-                for d, x in zip(keys[at : at + 512], encoder.encode([t or "" for t in texts[at : at + 512]]), strict=True):
-                    doc_ids.append(d)
-                    ids += [x, END]
-                    lengths.append(len(x) // 4 + 1)
-                    held += lengths[-1]
-                    if held >= SHARD_IDS:
-                        yield close()
-                        seq, start = seq + 1, start + held
-                        doc_ids, lengths, ids, held = [], [], [], 0
+            for d, x in zip(keys, encoder.encode([t or "" for t in texts]), strict=True):
+                doc_ids.append(d)
+                ids += [x, END]
+                lengths.append(len(x) // 4 + 1)
+                held += lengths[-1]
+                if held >= SHARD_IDS:
+                    yield close()
+                    seq, start = seq + 1, start + held
+                    doc_ids, lengths, ids, held = [], [], [], 0
         if held:
             yield close()
 

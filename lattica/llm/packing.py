@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, column, documents, table
-from .wordcache import SegmentEncoder
+from .wordcache import segment_encoder
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group, and tokens that wait before a flush.
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = SegmentEncoder(tokenizer_path), Packer()
+        encoder, packer = segment_encoder(tokenizer_path), Packer()
         end = np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         sequence = group = 0
@@ -156,11 +156,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
 
         for b in batches:
             keys, texts = column(b, "doc_id"), column(b, "text")
-            for at in range(0, len(texts), 512):
-                windows = []
-                for d, x in zip(keys[at : at + 512], encoder.encode([t or "" for t in texts[at : at + 512]]), strict=True):
-                    windows += packer.add((d, x + end, len(x) // 4 + 1))
-                yield from rows(windows)
+            windows = []
+            for d, x in zip(keys, encoder.encode([t or "" for t in texts]), strict=True):
+                windows += packer.add((d, x + end, len(x) // 4 + 1))
+            yield from rows(windows)
         yield from rows(packer.close())
 
     schema = ", ".join(f"{n} long" for n in NAMES) + ", ids binary" * with_ids

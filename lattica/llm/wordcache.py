@@ -1,26 +1,45 @@
 """Tokens of whole texts through a cache of the tokens of their space-led segments.
 
-Both vocabularies of the `tokenizers` library that are used here split a text at white space before any merge, so no token
-crosses a space that stands before a visible character. Each distinct segment is encoded by the library once per
-cache; a text with any other kind of space is given to the library whole.
+The vocabularies of the `tokenizers` library that are used here split a text at white space before any merge, so no token
+crosses a space that stands before a visible character. A segment that isn't cached is split by the vocabulary's own
+pattern and merged by the library's model; segments with characters beyond Latin letters and ASCII, and texts with
+any other kind of space, are given to the library whole.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from array import array
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from .common import single_threaded
 
 #: A space before anything but a plainly visible character: such texts aren't cut.
 ODD = re.compile(" (?![!-~¡-ᙿ])")
+#: What is split here: ASCII without blanks but the line end and the space, and precomposed Latin letters and marks.
+PLAIN = re.compile("[\n -~¡-¬®-ɏ]*")
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NOTHING = b""
 
 
+def byte_letters() -> dict[int, int]:
+    """The fixed table of byte-level vocabularies: visible bytes stand for themselves, others for letters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class SegmentEncoder:
-    """ids of texts as little-endian uint32 bytes. `limit`: segments kept; when full, the cache starts anew."""
+    """ids of texts as little-endian uint32 bytes. `limit`: segments kept in each of two generations."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 450_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -28,36 +47,120 @@ class SegmentEncoder:
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        with open(path) as f:
+            self.split = self.splitter(json.load(f))
+
+    @staticmethod
+    def splitter(config: dict) -> Callable[[str], list[str]] | None:
+        """The vocabulary's normalization and split for PLAIN segments; None if it's of a kind not known here."""
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+        if config["normalizer"] is None and config["pre_tokenizer"] == byte_level | {"use_regex": True}:
+            return regex.compile(BYTE_PATTERN).findall
+        steps = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
+        parts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[1] == byte_level | {"use_regex": False} and parts[0].get("behavior") == "Removed" and parts[0].get("invert"):
+            find = regex.compile(parts[0]["pattern"]["Regex"]).findall
+            return lambda segment: find(segment.lower())
+        return None
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def segments(self, found: list[str]) -> list[bytes]:
+        """ids of segments, each encoded by itself."""
+        if self.split is None:
+            return self.library(found)
+        out: list[bytes] = []
+        split, merge = self.split, self.tokenizer.model.tokenize
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        parts = self.parts
+        others = []
+        for i, segment in enumerate(found):
+            if segment.isascii() and segment.isprintable() or PLAIN.fullmatch(segment):
+                ids = []
+                for part in split(segment):
+                    if (known := parts.get(part)) is None:
+                        spelt = part.replace(" ", SPACE).replace("\n", LINE) if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+                        known = parts[part] = array("I", [t.id for t in merge(spelt)]).tobytes()
+                    ids.append(known)
+                out.append(b"".join(ids))
+            else:
+                others.append(i)
+                out.append(NOTHING)
+        if others:
+            for i, ids in zip(others, self.library([found[i] for i in others]), strict=True):
+                out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text's first segment is encoded as it stands, each later one with the space before it."""
         out: list[bytes] = [NOTHING] * len(texts)
-        plain, cut, odd = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if ODD.search(text):
-                odd.append(i)
-            else:
-                plain.append(i)
-                cut.append(text.split(" "))
-        if odd:
-            for i, ids in zip(odd, self.library([texts[i] for i in odd]), strict=True):
-                out[i] = ids
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        heads = [parts[0] for parts in cut]
-        for parts in cut:
-            parts[0] = ""
-        cache = self.cache
-        missing = list(set().union(*cut).difference(cache)) if cut else []
-        if missing:
-            cache.update(zip(missing, self.library([" " + w for w in missing]), strict=True))
-            cache[""] = NOTHING  # stands for the head
-        get = cache.__getitem__
-        for i, head, parts in zip(plain, self.library(heads), cut, strict=True):
-            out[i] = head + b"".join(map(get, parts))
+        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
+        for some, ids in ((odd, self.library), (plain, self.by_segments)):
+            for i, x in zip(some, ids([texts[i] for i in some]) if some else [], strict=True):
+                out[i] = x
         return out
+
+    def by_segments(self, texts: list[str]) -> list[bytes]:
+        return gathered(texts, self.cached, self.segments)
+
+    def cached(self, words: list[str]) -> list[bytes]:
+        """ids of segments, given without the space before them."""
+        if len(self.cache) > self.limit:
+            self.older, self.cache = self.cache, {}
+        return through(words, self.cache, self.older, lambda fresh: self.segments([" " + w for w in fresh]))
+
+
+def through(words: list[str], cache: dict[str, bytes], older: dict[str, bytes], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Values of words from a cache of two generations; learn gives those of new ones."""
+    found = list(map(cache.get, words))
+    fresh = []
+    for k, ids in enumerate(found):
+        if ids is None:
+            if (ids := older.get(words[k])) is None:
+                fresh.append(k)
+            else:
+                found[k] = cache[words[k]] = ids
+    if fresh:
+        for k, ids in zip(fresh, learn([words[k] for k in fresh]), strict=True):
+            found[k] = cache[words[k]] = ids
+    return found
+
+
+def gathered(texts: list[str], ids_of: Callable[[list[str]], list[bytes]], ids_of_heads: Callable[[list[str]], list[bytes]] | None = None) -> list[bytes]:
+    """ids of texts, cut at each space, from those of their distinct segments; first segments may be taken otherwise.
+
+    Arrow splits the texts and numbers the segments; ids are gathered by their numbers.
+    """
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    offsets = cut.offsets.to_numpy()
+    numbered = cut.flatten().dictionary_encode()
+    numbers = numbered.indices.to_numpy().astype(np.int64)
+    ids = ids_of(numbered.dictionary.to_pylist())
+    if ids_of_heads is not None:
+        heads = offsets[:-1]
+        first = numbered.dictionary.take(pa.array(numbers[heads])).to_pylist()
+        numbers[heads] = len(ids) + np.arange(len(heads))
+        ids = ids + ids_of_heads(first)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    lengths = sizes[numbers]
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    out = flat[np.repeat(starts[numbers] - upto[:-1], lengths) + np.arange(upto[-1])]
+    ends = upto[offsets].tolist()
+    return [out[s:e].tobytes() for s, e in zip(ends, ends[1:])]
+
+
+BYTE_LETTERS = byte_letters()
+SPACE, LINE = (chr(BYTE_LETTERS[ord(c)]) for c in " \n")
+
+
+@functools.lru_cache(maxsize=2)
+def segment_encoder(path: str) -> SegmentEncoder:
+    """One for each worker process, kept from task to task."""
+    return SegmentEncoder(path)
