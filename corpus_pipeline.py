@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table, written
+from lattica.llm.common import spare, table, written
 from lattica.llm.lines import drop_lines
 from lattica.llm.packing import pack_documents
 from lattica.llm.quality import quality
@@ -21,8 +21,9 @@ from lattica.llm.simhash import near_duplicates
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity bands keep. Rows with an equal doc_id, or with none,
     go together if any of them fails."""
-    failed = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    key = spare(docs, "failed_id")
+    failed = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates, once. Documents without a doc_id stay
     where a group has nothing else."""
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = spare(docs, "kept_id")
+    keep = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

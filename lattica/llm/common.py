@@ -16,13 +16,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that an Arrow batch may hold; by rows alone, batches of long texts would fill an executor.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches limited by bytes as well as by rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that further columns, whatever their names, can't get in the way."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name like this one that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:

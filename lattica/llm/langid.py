@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, exchange, table
+from .common import batch_of, bounded, column, exchange, table
 
 BUCKETS = 1 << 16
 #: Learning documents of each language that the classifier is fitted on, by the hash of their doc_id: the bound.
@@ -235,5 +235,5 @@ def held_out(docs: DataFrame) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = bounded(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return identify(docs.select("doc_id", "text"), train(docs.where(~held_out(docs))))

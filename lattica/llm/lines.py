@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, exchange, mix64, pack_by_bucket, partitions, payloads, table, written
+from .common import batch_of, bounded, column, exchange, mix64, pack_by_bucket, partitions, payloads, spare, table, written
 from .components import connected_components
 from .rolling import Rolling
 
@@ -288,7 +288,7 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     whole, which near-duplicate detection of documents deals with. Null and empty texts have no lines. Rows with an
     equal doc_id are one document's rows: their duplicates are listed for each.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = duplicate_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "size", "first_doc_id", "first_pos"))).alias("found"))
     size = F.length("text")
     shape = docs.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_chars"), F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"))
@@ -300,13 +300,14 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that line_report drops; n_chars, where there is one, follows. All rows and columns stay."""
-    drops = line_report(docs).where("n_dropped > 0").select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")).dropDuplicates(["_id"])
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_dropped", i)), "\n"))
-    out = joined.withColumn("text", text)
+    key, drop = spare(docs, "dropped_id"), spare(docs, "dropped_lines")
+    drops = line_report(docs).where("n_dropped > 0").select(F.col("doc_id").alias(key), F.col("dropped").alias(drop)).dropDuplicates([key])
+    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
+    changed = {"text": F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(changed).select(*docs.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, exchange, mix64, pack_by_bucket, partitions, payloads, table, written
+from .common import batch_of, bounded, column, exchange, mix64, pack_by_bucket, partitions, payloads, table, written
 
 ORDER = 4
 BITS = 6
@@ -277,7 +277,7 @@ def quality(docs: DataFrame, label: str = "quality") -> DataFrame:
     no bands and keep what passes the base rules. Repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = count_ngrams(docs).collect()
     records = np.concatenate([np.empty(0, RECORD), *(np.frombuffer(r.payload, RECORD) for r in rows)])
     models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"])}

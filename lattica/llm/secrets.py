@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, column, documents, table
+from .common import batch_of, bounded, column, documents, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -155,7 +155,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 b = b.set_column(j, b.schema.field(j), pa.array([None if t is None else len(t) for t in cleaned], type=b.schema.field(j).type))
             yield b
 
-    return docs.mapInArrow(run, fields)
+    return bounded(docs).mapInArrow(run, fields)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def fingerprint_links(distinct: DataFrame, key_bytes: int | None = None) -> Data
     spark = distinct.sparkSession
     if key_bytes is None:
         key_bytes = 3 if distinct.count() <= THREE_BYTE_ENTRIES else LEAST_BYTES
-    set_masks, buckets = masks(key_bytes), partitions(spark) * 4
+    set_masks, buckets = masks(key_bytes), partitions(spark)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
