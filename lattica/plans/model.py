@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ImmutableGraph, InvalidArgument
@@ -30,7 +31,7 @@ def check_edges(edges: DataFrame, n: int) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"))
 
 
-def pair(directed: bool) -> list:
+def pair(directed: bool) -> list[Column]:
     """The key by which mutable representations tell edges apart."""
     if directed:
         return [F.col("u").alias("src"), F.col("v").alias("dst")]
@@ -39,23 +40,15 @@ def pair(directed: bool) -> list:
 
 def canonical(operations: DataFrame, directed: bool) -> DataFrame:
     """Edges that stand after a log of adds and removes: an edge lives since its pair's last removal, is as old as the first
-    add after it and has the weight of the last one. One shuffle; adds and removes are pre-aggregated by it.
-
-    The first add after the last removal is not a plain minimum, so both come from the pair's history: only the adds after
-    the last removal count, and that is known once the removals' maximum is.
+    add after it and has the weight of the last one. One shuffle by pair; a pair's history is sorted in one task, and
+    spills there if it must.
     """
     keyed = operations.select("seq", "kind", *pair(directed), "w")
-    removed = F.coalesce(F.max(F.when(F.col("kind") == "remove", F.col("seq"))).over(_pairs()), F.lit(-1))
+    removed = F.coalesce(F.max(F.when(F.col("kind") == "remove", F.col("seq"))).over(W.partitionBy("src", "dst")), F.lit(-1))
     live = keyed.withColumn("_removed", removed).where((F.col("kind") == "add") & (F.col("seq") > F.col("_removed")))
     return live.groupBy("src", "dst").agg(F.min("seq").alias("eid"), F.max_by("w", "seq").alias("w")).select("eid", "src", "dst", "w")
 
 
-def _pairs():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("src", "dst")
-
-
 @dataclass(frozen=True)
 class Graph:
     edges: DataFrame
@@ -105,7 +98,7 @@ class Graph:
             raise InvalidArgument(policy)
         if self.policy != "star" or policy == "star":
             return Graph(self.edges, self.n, self.directed, policy)
-        adds = self.edges.select(F.col("eid").alias("u_"), "src", "dst", "w").select(F.col("u_").alias("seq"), F.col("src").alias("u"), F.col("dst").alias("v"), "w")
+        adds = self.edges.select(F.col("eid").alias("seq"), F.col("src").alias("u"), F.col("dst").alias("v"), "w")
         merged = adds.select("seq", *pair(self.directed), "w").groupBy("src", "dst").agg(F.min("seq").alias("eid"), F.max_by("w", "seq").alias("w"))
         return Graph(merged.select("eid", "src", "dst", "w"), self.n, self.directed, policy)
 
