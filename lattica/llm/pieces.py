@@ -8,6 +8,7 @@ once per cache. Every newly encoded segment of a batch is checked against the se
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import warnings
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, column, documents, table
+from .wordcache import gathered, through
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: A space at an end or before another one, or a space sign.
+ODD = re.compile(f"^ |  | $|{SPACE}")
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -141,9 +145,9 @@ class Vocabulary:
 
 
 class PieceEncoder:
-    """Texts to ids, with the agenda; `limit`: segments kept in the cache, which starts anew when full."""
+    """Texts to ids, with the agenda; `limit`: segments kept in each of two generations."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import sentencepiece
 
         self.vocabulary = Vocabulary(path)
@@ -151,9 +155,11 @@ class PieceEncoder:
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.corrected = 0
 
-    def learn(self, segments: list[str]) -> None:
+    def learn(self, segments: list[str]) -> list[bytes]:
+        """ids of segments by the agenda, checked."""
         own = [self.vocabulary.encode(s) for s in segments]
         # the library puts a space sign before a text, so it's given the segment without its first one
         asked = [i for i, s in enumerate(segments) if len(s) > 1 and s[0] == SPACE]
@@ -162,25 +168,37 @@ class PieceEncoder:
                 self.corrected += 1
                 warnings.warn(f"agenda and library differ on {segments[i]!r}", stacklevel=2)
                 own[i] = ids
-        self.cache.update((s, array("I", ids).tobytes()) for s, ids in zip(segments, own, strict=True))
+        return [array("I", ids).tobytes() for ids in own]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids with begin and end as little-endian uint32 bytes."""
+        begin, end = (array("I", [i]).tobytes() for i in (self.begin, self.end))
+        out = [b""] * len(texts)
+        # with single spaces between visible characters, each part is a segment but for its space sign
+        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)] if self.vocabulary.dummy_prefix else []
+        for i, ids in zip(plain, gathered([texts[i] for i in plain], lambda words: self.cached([SPACE + w for w in words])) if plain else [], strict=True):
+            out[i] = ids
         prefix = SPACE if self.vocabulary.dummy_prefix else ""
-        find = SEGMENT.findall
-        cut = [find(prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        for i in set(range(len(texts))).difference(plain):
+            if texts[i]:
+                out[i] = b"".join(self.cached(SEGMENT.findall(prefix + texts[i].replace(" ", SPACE))))
+        return [begin + x + end for x in out]
+
+    def cached(self, segments: list[str]) -> list[bytes]:
         if len(self.cache) > self.limit:
-            self.cache.clear()
-        if missing := list(set().union(*cut).difference(self.cache)):
-            self.learn(missing)
-        get = self.cache.__getitem__
-        begin, end = (array("I", [i]).tobytes() for i in (self.begin, self.end))
-        return [begin + b"".join(map(get, parts)) + end for parts in cut]
+            self.older, self.cache = self.cache, {}
+        return through(segments, self.cache, self.older, self.learn)
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return [self.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
 
 
+@functools.lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One for each worker process, kept from task to task."""
+    return PieceEncoder(path)
+
+
 NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -192,13 +210,12 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = piece_encoder(model_path)
         for b in batches:
             keys, texts = column(b, "doc_id"), column(b, "text")
-            for at in range(0, len(texts), 512):
-                ids = encoder.encode([t or "" for t in texts[at : at + 512]])
-                back = encoder.decode(ids)
-                yield batch_of(NAMES, [keys[at : at + 512], [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back]], TYPES)
+            ids = encoder.encode([t or "" for t in texts])
+            back = encoder.decode(ids)
+            yield batch_of(NAMES, [keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back]], TYPES)
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -207,7 +224,7 @@ def piece_ids(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids array<int>) with begin and end ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = piece_encoder(model_path)
         for b in batches:
             ids = encoder.encode([t or "" for t in column(b, "text")])
             yield batch_of(["doc_id", "ids"], [column(b, "doc_id"), [np.frombuffer(x, "<u4").tolist() for x in ids]], [pa.int64(), pa.list_(pa.int32())])
