@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import cut
+from ..plans.loops import cut, cut_by
 from ..plans.model import Graph
 
 
@@ -34,7 +34,7 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
     that still lowers one means a negative cycle and raises."""
     if not 0 <= source < graph.n:
         raise InvalidArgument(f"source {source}")
-    arcs = cut(graph.arcs().groupBy("u", "v").agg(F.min("w").alias("w")))
+    arcs = cut_by(graph.arcs().groupBy("u", "v").agg(F.min("w").alias("w")), "u")
     known = fallen = cut(graph.spark.createDataFrame([(source, 0.0)], "v long, distance double"))
     for _ in range(graph.n):
         offers = fallen.withColumnRenamed("v", "u").join(arcs, "u").groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
@@ -48,7 +48,7 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
 def pagerank(graph: Graph, rounds: int, damping: float = 0.85) -> DataFrame:
     """(v, rank) after so many rounds from 1 / n: a vertex passes its rank on over its arcs in equal parts; what vertices
     without arcs hold is spread over all."""
-    arcs = cut(graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")))
+    arcs = cut_by(graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "u")
     degree = arcs.groupBy("u").agg(F.sum("k").alias("out"))
     ranks = cut(graph.vertices.select(F.col("id").alias("v"), F.lit(1.0 / graph.n).alias("rank")).join(degree.withColumnRenamed("u", "v"), "v", "left"))
     for _ in range(rounds):

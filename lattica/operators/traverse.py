@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import cut
+from ..plans.loops import cut, cut_by
 from ..plans.model import Graph
 
 SCHEMA = "v long, dist int, parent long, ord long"
@@ -46,7 +46,7 @@ def complete(graph: Graph, reached: DataFrame) -> DataFrame:
 def levels(arcs: DataFrame, source: int) -> DataFrame:
     """A join for each level. A vertex is found by the least (ord of u, pos) among the arcs that lead to it, and a level's
     vertices follow one another in that order: that is what a queue does, so order and parents are exact."""
-    arcs = cut(arcs.select("u", "v", "pos", "eid").repartition("u"))
+    arcs = cut_by(arcs.select("u", "v", "pos", "eid"), "u")
     spark = arcs.sparkSession
     reached = frontier = cut(spark.createDataFrame([(source, 0, -1, 0)], SCHEMA))
     count, level = 1, 0
@@ -76,7 +76,7 @@ def placement(found: DataFrame) -> DataFrame:
 def distances(graph: Graph, source: int) -> DataFrame:
     """(v, dist) alone: levels need no order, so nothing is ranged or numbered."""
     _source(graph, source)
-    arcs = cut(graph.arcs().select("u", "v").distinct())
+    arcs = cut_by(graph.arcs().select("u", "v").distinct(), "u")
     reached = frontier = cut(graph.spark.createDataFrame([(source, 0)], "v long, dist int"))
     level = 0
     while True:

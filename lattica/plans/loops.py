@@ -35,3 +35,15 @@ def with_ordinal(df: DataFrame, name: str, *order: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(bases, "_range int, _base long")
     place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_base") + F.col("_place")).drop("_range", "_place", "_base")
+
+
+def cut_by(df: DataFrame, *columns: str) -> DataFrame:
+    """As cut, dealt by columns: joins and aggregations on them don't shuffle df again. Adaptive plans hide how they are
+    dealt, so this one is planned without."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
