@@ -119,3 +119,60 @@ def payloads(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
 def exchange(packed: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, payload) so that each task of the next stage holds whole buckets, one bucket to a task where possible."""
     return packed.repartition(buckets, "bucket")
+
+
+# --- Bloom filter of fixed size ----------------------------------------------------------------------------------
+#: 4 MB, whatever the input: a filter before a shuffle join, which stays exact. Where it fills up, it only lets more through.
+BLOOM_BITS = 1 << 25
+BLOOM_SLOTS = 16
+
+
+def bloom_places(x: np.ndarray) -> list[np.ndarray]:
+    h = mix64(x.view(np.uint64))
+    return [((h >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for s in (0, 19, 38)]
+
+
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """Packed bits for keys (one long column). Tasks' bits are united slot by slot; the driver gets BLOOM_SLOTS rows."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS, bool)
+        n = 0
+        for b in batches:
+            n += b.num_rows
+            for places in bloom_places(b.column(0).to_numpy(zero_copy_only=False)):
+                bits[places] = True
+        if n:
+            parts = np.packbits(bits).reshape(BLOOM_SLOTS, -1)
+            yield batch_of(["bucket", "payload"], [list(range(BLOOM_SLOTS)), [p.tobytes() for p in parts]], [pa.int32(), pa.binary()])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        united: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, payload in zip(column(b, "bucket"), column(b, "payload"), strict=True):
+                part = np.frombuffer(payload, np.uint8)
+                united[slot] = united[slot] | part if slot in united else part
+        if united:
+            yield batch_of(["bucket", "payload"], [[*united], [p.tobytes() for p in united.values()]], [pa.int32(), pa.binary()])
+
+    schema = "bucket int, payload binary"
+    out = np.zeros((BLOOM_SLOTS, BLOOM_BITS // 8 // BLOOM_SLOTS), np.uint8)
+    for r in exchange(keys.mapInArrow(build, schema), BLOOM_SLOTS).mapInArrow(unite, schema).collect():
+        out[r.bucket] = np.frombuffer(r.payload, np.uint8)
+    return out.reshape(-1)
+
+
+def maybe_in(df: DataFrame, name: str, bits: np.ndarray) -> DataFrame:
+    """Rows of df whose long column `name` may be among the filter's keys: all that are, and few others."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            x = b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            keep = np.ones(len(x), bool)
+            for places in bloom_places(x):
+                keep &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+            yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

@@ -6,10 +6,7 @@ where a node has very many edges. Each round is a table in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +32,6 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Each task's edges as stars around its least nodes: at most as many edges as nodes, same components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            nodes, roots = local_roots(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            own = nodes != roots
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(roots[own])], names=["a", "b"])
-
-    return edges.mapInArrow(run, "a long, b long")
-
-
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: a > b. Large: each node's larger neighbours go to the least of it and its neighbours. Small: each node and
     its lesser neighbours go to the least of those."""
@@ -63,9 +47,10 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, component) for every node of edges(a long, b long); component is the least node. Self-loops count."""
+    """(node, component) for every node of edges(a long, b long) that has another one for a neighbour; component is the least
+    node. edges are read once."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = written(forest(pairs), label)
+    current = written(pairs.where("a <> b"), label)
     before = None
     while True:
         now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -73,6 +58,5 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             break
         before = (now.n, now.h)
         current = written(star(star(current, True), False), label)
-    loops = edges.where("a = b").select("a", "b")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("node"), "component")).union(loops.toDF("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
+    return stars.union(stars.select(F.col("component").alias("node"), "component")).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded, column, exchange, mix64, pack_by_bucket, partitions, payloads, spare, table, written
+from .common import batch_of, bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
 from .components import connected_components
 from .rolling import Rolling
 
@@ -25,10 +25,10 @@ MAX_EDITS = 2
 MIN_CHARS = 16
 #: A group beyond this size is compared in blocks, each pair of blocks apart.
 BLOCK = 1024
-#: Rows whose groups are compared at once.
-CHUNK = 1 << 14
+#: Code points of lines that are hashed, or whose groups are compared, at once.
+CHUNK = 1 << 20
 BINS = 32
-#: A document that would lose more than this part of its characters is a copy, not a text with repeated lines.
+#: A document that would lose more than this part of its characters to others is a copy, not a text with repeated lines.
 MOST_DROPPED = 0.5
 
 
@@ -196,6 +196,18 @@ def group_links(sizes: np.ndarray, lines: list[str], edits: int) -> tuple[np.nda
     return np.concatenate(links_a), np.concatenate(links_b)
 
 
+def spans(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of about CHUNK code points."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= CHUNK:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """lines(line_id long, line string), distinct lines longer than `edits`: edges (a, b) between lines within `edits` edits
     whose components are those of all such pairs."""
@@ -203,22 +215,22 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = column(b, "line")
-            if not texts:
-                continue
-            ids = b.column(b.schema.get_field_index("line_id")).to_numpy()
-            points, length = code_points(texts)
-            begin = np.cumsum(length) - length
-            rolling = Rolling(mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-            parts = []
-            for probe, found in ((0, index_entries(length, edits)), (1, selections(length, edits))):
-                for rows, start, size, tag in found:
-                    part = np.empty(len(rows), RECORD)
-                    part["key"] = mix64(rolling.windows(begin[rows] + start, size) ^ mix64(tag.astype(np.uint64)))
-                    part["line"], part["probe"] = ids[rows], probe
-                    parts.append(part)
-            records = np.concatenate(parts)
-            yield pack_by_bucket(records, (records["key"] % np.uint64(buckets)).astype(np.int64), buckets)
+            all_texts, all_ids = column(b, "line"), b.column(b.schema.get_field_index("line_id")).to_numpy()
+            yield from (entries(all_ids[s:e], all_texts[s:e]) for s, e in spans(all_texts))
+
+    def entries(ids: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        points, length = code_points(texts)
+        begin = np.cumsum(length) - length
+        rolling = Rolling(mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        parts = []
+        for probe, found in ((0, index_entries(length, edits)), (1, selections(length, edits))):
+            for rows, start, size, tag in found:
+                part = np.empty(len(rows), RECORD)
+                part["key"] = mix64(rolling.windows(begin[rows] + start, size) ^ mix64(tag.astype(np.uint64)))
+                part["line"], part["probe"] = ids[rows], probe
+                parts.append(part)
+        records = np.concatenate(parts)
+        return pack_by_bucket(records, (records["key"] % np.uint64(buckets)).astype(np.int64), buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, members = met(payloads(batches, RECORD))
@@ -229,6 +241,7 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
         group: list[int] = []
         ids: list[int] = []
         texts: list[str] = []
+        held = 0
 
         def links(n: int) -> pa.RecordBatch | None:
             marks = np.array(group[:n], np.int64)
@@ -239,26 +252,29 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"]) if len(a) else None
 
         for b in batches:
-            group += column(b, "group")
-            ids += column(b, "line_id")
-            texts += column(b, "line")
-            if len(group) >= CHUNK and group[0] != group[-1]:
-                n = len(group) - 1
-                while group[n - 1] == group[-1]:  # the last group may go on
-                    n -= 1
-                if (out := links(n)) is not None:
-                    yield out
+            for g, i, t in zip(column(b, "group"), column(b, "line_id"), column(b, "line"), strict=True):
+                if held >= CHUNK and group[-1] != g:
+                    if (out := links(len(group))) is not None:
+                        yield out
+                    held = 0
+                group.append(g)
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
         if group and (out := links(len(group))) is not None:
             yield out
 
     found = exchange(lines.select("line_id", "line").mapInArrow(index, "bucket int, payload binary"), buckets).mapInArrow(meet, "group long, line_id long")
-    groups = found.distinct().join(lines.select("line_id", "line"), "line_id").select("group", "line_id", "line")
+    found = written(found.distinct(), "line-groups")
+    # few lines meet others: the rest needn't be shuffled to learn that
+    some = maybe_in(lines.select("line_id", "line"), "line_id", bloom_filter(found.select("line_id")))
+    groups = found.join(some, "line_id").select("group", "line_id", "line")
     return groups.repartition(buckets, "group").sortWithinPartitions("group", "line_id").mapInArrow(compare, "a long, b long")
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, pos, line, h1, h2) for every line of at least `least` code points with something but blanks in it."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """(doc_id, pos, line, h1, h2) for every line with a doc_id, of at least `least` code points with something but blanks in it."""
+    split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     kept = split.where((F.length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
@@ -266,26 +282,27 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
 def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(doc_id, pos, size, first_doc_id, first_pos) for every line of a class that an earlier line began.
 
-    docs(doc_id, text). Earlier means a smaller doc_id (null first), then a smaller line number. size is the line's length.
+    docs(doc_id, text). Earlier means a smaller doc_id, then a smaller line number. size is the line's length. Documents
+    without a doc_id are left alone.
     """
     every = occurrences(docs, least)
-    distinct = every.groupBy("line", "h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = every.groupBy("line", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     lines = written(distinct.withColumn("line_id", F.monotonically_increasing_id()), "lines")
     components = connected_components(edit_links(lines, edits), "line-links")
-    classed = lines.join(components.withColumnRenamed("node", "line_id"), "line_id", "left").select("h1", "h2", "first", "n", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "line_id").alias("class"))
-    classed = written(classed.where("linked or n > 1"), "line-classes")
-    firsts = classed.groupBy("class").agg(F.min("first").alias("origin"))
-    known = classed.join(firsts, "class").select("h1", "h2", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.pos").alias("first_pos"))
-    found = every.select("doc_id", "pos", F.length("line").alias("size"), "h1", "h2").join(known, ["h1", "h2"])
-    return found.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("pos") == F.col("first_pos")))).drop("h1", "h2")
+    classed = lines.drop("line").join(components.withColumnRenamed("node", "line_id"), "line_id", "left").where("component is not null or n > 1")
+    classed = classed.select("h1", "h2", F.coalesce("component", "line_id").alias("class"))
+    found = written(every.select("doc_id", "pos", F.length("line").alias("size"), "h1", "h2").join(classed, ["h1", "h2"]).drop("h1", "h2"), "line-classes")
+    origins = found.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    known = found.join(origins, "class").select("doc_id", "pos", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"))
+    return known.where((F.col("doc_id") != F.col("first_doc_id")) | (F.col("pos") != F.col("first_pos")))
 
 
 def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
     """One row per document: n_lines, n_duplicates, duplicates (line numbers from 0 with the first line of their class),
     n_dropped and dropped.
 
-    The duplicates of a document are dropped unless they are over half of its characters: such a document is a copy as a
-    whole, which near-duplicate detection of documents deals with. Null and empty texts have no lines. Rows with an
+    The duplicates of a document are dropped unless those of other documents' lines are over half of its characters: such a
+    document is a copy as a whole, which near-duplicate detection of documents deals with. Null and empty texts have no lines. Rows with an
     equal doc_id are one document's rows: their duplicates are listed for each.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -293,7 +310,7 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     size = F.length("text")
     shape = docs.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_chars"), F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"))
     joined = shape.join(found.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,size:int,first_doc_id:bigint,first_pos:int>>")))
-    total = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["size"])
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + F.when(x["first_doc_id"] == F.col("doc_id"), 0).otherwise(x["size"]))
     dropped = F.when(total <= MOST_DROPPED * F.col("n_chars"), F.transform("found", lambda x: x["pos"])).otherwise(F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size("found").cast("long").alias("n_duplicates"), F.transform("found", lambda x: F.struct(x["pos"].alias("line"), x["first_doc_id"], x["first_pos"].alias("first_line"))).alias("duplicates"), dropped.alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
 
