@@ -9,8 +9,9 @@ by its language's lower and upper perplexity bands, which follow from the median
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +86,16 @@ def run_lengths(x: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
     return x[starts], np.add.reduceat(weights, starts)
 
 
+@functools.lru_cache(maxsize=4096)
 def language_key(lang: str | None) -> int:
     return xxhash.xxh64_intdigest((lang or "").encode("utf-8"))
 
 
-def by_language(langs: list[str | None], texts: list[str | None]) -> dict[int, list[int]]:
+def by_language(langs: list[str | None], texts: list[str | None], known: Container[int] | None = None) -> dict[int, list[int]]:
+    """Rows that have text, by language; of known languages alone, if these are given."""
     found: dict[int, list[int]] = {}
     for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-        if text:
+        if text and (known is None or language_key(lang) in known):
             found.setdefault(language_key(lang), []).append(i)
     return found
 
@@ -112,15 +115,21 @@ def cuts(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
 RECORD = np.dtype([("lang", "<u8"), ("code", "<u4"), ("n", "<u8")])
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """docs(text, lang) to rows (payload): packed RECORDs, each n-gram of each language once, over all documents."""
+def frequent_languages(docs: DataFrame, least: int) -> frozenset[int]:
+    """Keys of the languages with at least so many documents: the others have no bands, so they need no model."""
+    counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frozenset(language_key(r.lang) for r in counted.select("lang").collect())
+
+
+def count_ngrams(docs: DataFrame, known: Container[int] | None = None) -> DataFrame:
+    """docs(text, lang) to rows (payload): packed RECORDs, each n-gram of each (known) language once, over all documents."""
     buckets = partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             texts = column(b, "text")
-            for lang, rows in by_language(column(b, "lang"), texts).items():
+            for lang, rows in by_language(column(b, "lang"), texts, known).items():
                 for some in cuts(rows, texts):
                     codes, n = run_lengths(coded([texts[i] for i in some])[0])
                     if lang in sums:
@@ -172,10 +181,9 @@ class Model:
             dense *= np.repeat(gamma, CLASSES)
             dense[keys] += direct
             lower = dense
-        direct, self.gamma = self.discounted(*table[0], ORDER)
-        self.lower = lower
-        self.logp = np.log(direct + self.gamma[self.keys >> BITS] * lower[self.keys & ((1 << BITS * (ORDER - 1)) - 1)]).astype(np.float32)
-        self.log_gamma, self.log_lower = np.log(self.gamma).astype(np.float32), np.log(lower).astype(np.float32)
+        direct, gamma = self.discounted(*table[0], ORDER)
+        self.logp = np.log(direct + gamma[self.keys >> BITS] * lower[self.keys & ((1 << BITS * (ORDER - 1)) - 1)]).astype(np.float32)
+        self.log_gamma, self.log_lower = np.log(gamma).astype(np.float32), np.log(lower).astype(np.float32)
 
     @staticmethod
     def discounted(keys: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +237,7 @@ SCHEMA = "doc_id long, lang_key long, n_words long, word_chars long, n_symbols l
 
 def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
     """docs(doc_id, text, lang): base features, and the negative log-probability of the text for each run of letters and
-    digits in it, so that marks put onto words count against them (null for no text; without any run, the whole sum)."""
+    digits in it, so that marks put onto words count against them (null for no text and for languages without a model; without any run, the whole sum)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
         for b in batches:
             texts, langs = column(b, "text"), column(b, "lang")
             out: list[float | None] = [None] * len(texts)
-            for lang, rows in by_language(langs, texts).items():
+            for lang, rows in by_language(langs, texts, models).items():
                 for some in cuts(rows, texts):
                     codes, starts = coded([texts[i] for i in some])
                     sums = np.add.reduceat(models[lang].score(codes), starts, dtype=np.float64)
@@ -278,7 +286,7 @@ def quality(docs: DataFrame, label: str = "quality") -> DataFrame:
     """
     spark = docs.sparkSession
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = count_ngrams(docs).collect()
+    rows = count_ngrams(docs, frequent_languages(docs, LEAST_DOCUMENTS)).collect()
     records = np.concatenate([np.empty(0, RECORD), *(np.frombuffer(r.payload, RECORD) for r in rows)])
     models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"])}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
