@@ -78,7 +78,7 @@ def plain_duplicates(texts, most, least):
                 places.append((d, p, x))
                 first.setdefault(x, (d, p))
     distinct = list(first)
-    of = classes(len(distinct), [(i, j) for i in range(len(distinct)) for j in range(i) if edits(distinct[i], distinct[j]) <= most])
+    of = classes(len(distinct), [(i, j) for i in range(len(distinct)) for j in range(i) if abs(len(distinct[i]) - len(distinct[j])) <= most and edits(distinct[i], distinct[j]) <= most])
     origin = {}
     for k, x in zip(of, distinct, strict=True):
         origin[k] = min(origin.get(k, first[x]), first[x])
