@@ -4,7 +4,9 @@ A modified Kneser-Ney model of character classes, of order 4, is counted by Spar
 A character has one of 64 classes, so an n-gram packs into 24 bits, a language's model has at most 64**4 entries (some
 ten thousands in practice) whatever the corpus, and may be broadcast. Models are sorted hash arrays: n-grams' packed
 hashes in order beside their log-probabilities, found by binary search; lower orders are dense. A document is rejected
-by its language's lower and upper perplexity bands, which follow from the median and spread over all its documents.
+by its language's lower and upper perplexity bands, which follow from the median and spread over all its documents. As
+clean documents may quote other languages, one that its language's model rejects stays if the model of all
+languages together finds it within that language's bands for that model.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BAND_WIDTH = 7.0
 LEAST_BAND = 1.0
 #: A language with fewer documents has no bands.
 LEAST_DOCUMENTS = 50
+#: The model of all languages; no language has this key.
+POOLED = -1
 #: Log-perplexities are counted in steps of this size for medians.
 STEP = 1 / 128
 #: Characters of a batch that are coded at once.
@@ -232,11 +236,11 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, lang_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+SCHEMA = "doc_id long, lang_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, pooled double"
 
 
 def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
-    """docs(doc_id, text, lang): base features, and the negative log-probability of the text for each run of letters and
+    """docs(doc_id, text, lang): base features, and, by the language's model and the POOLED one, the negative log-probability of the text for each run of letters and
     digits in it, so that marks put onto words count against them (null for no text and for languages without a model; without any run, the whole sum)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -245,16 +249,18 @@ def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
         for b in batches:
             texts, langs = column(b, "text"), column(b, "lang")
             out: list[float | None] = [None] * len(texts)
+            pooled: list[float | None] = [None] * len(texts)
             for lang, rows in by_language(langs, texts, models).items():
                 for some in cuts(rows, texts):
                     codes, starts = coded([texts[i] for i in some])
-                    sums = np.add.reduceat(models[lang].score(codes), starts, dtype=np.float64)
-                    runs = np.add.reduceat(RUN_STARTS[codes & (CLASSES * CLASSES - 1)], starts, dtype=np.int64)
-                    for i, s in zip(some, (-sums / np.maximum(runs, 1)).tolist(), strict=True):
-                        out[i] = s
+                    runs = np.maximum(np.add.reduceat(RUN_STARTS[codes & (CLASSES * CLASSES - 1)], starts, dtype=np.int64), 1)
+                    for key, scores in ((lang, out), (POOLED, pooled)):
+                        sums = np.add.reduceat(models[key].score(codes), starts, dtype=np.float64)
+                        for i, s in zip(some, (-sums / runs).tolist(), strict=True):
+                            scores[i] = s
             keys = np.array([language_key(x) for x in langs], np.uint64).view(np.int64)
             features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, 5)
-            yield batch_of(["doc_id", "lang_key", *FEATURES, "log_perplexity"], [column(b, "doc_id"), keys, *features.T, out], [pa.int64()] * 7 + [pa.float64()])
+            yield batch_of(["doc_id", "lang_key", *FEATURES, "log_perplexity", "pooled"], [column(b, "doc_id"), keys, *features.T, out, pooled], [pa.int64()] * 7 + [pa.float64()] * 2)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -265,16 +271,17 @@ def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[np.searchsorted(n, n[-1] / 2)])
 
 
-def bands(scores: DataFrame) -> list[tuple[int, float, float]]:
-    """(lang_key, low, high). Medians come from counts by step: what the driver gets is bounded by the range of scores."""
-    steps = scores.where("log_perplexity is not null and not base_failed").groupBy("lang_key", F.round(F.col("log_perplexity") / STEP).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    found = []
+def bands(scores: DataFrame, name: str) -> dict[int, tuple[float, float]]:
+    """(low, high) by lang_key for a score. Medians come from counts by step: what the driver gets is bounded by the range of
+    scores."""
+    steps = scores.where(F.col(name).isNotNull() & ~F.col("base_failed")).groupBy("lang_key", F.round(F.col(name) / STEP).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    found = {}
     for lang, part in steps.toPandas().astype("int64").groupby("lang_key"):
         if part.n.sum() >= LEAST_DOCUMENTS:
             x, n = part.s.to_numpy() * STEP, part.n.to_numpy()
             middle = weighted_median(x, n)
             width = max(LEAST_BAND, BAND_WIDTH * 1.4826 * weighted_median(np.abs(x - middle), n))
-            found.append((int(lang), middle - width, middle + width))
+            found[int(lang)] = middle - width, middle + width
     return found
 
 
@@ -290,9 +297,12 @@ def quality(docs: DataFrame, label: str = "quality") -> DataFrame:
     records = np.concatenate([np.empty(0, RECORD), *(np.frombuffer(r.payload, RECORD) for r in rows)])
     models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"])}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    if models:
+        models[POOLED] = Model(*run_lengths(records["code"], records["n"]))
     scores = written(scored(docs, models).withColumn("base_failed", failed), label)
-    limits = spark.createDataFrame(bands(scores), "lang_key long, low double, high double")
-    inside = F.col("low").isNull() | F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    own, pooled = bands(scores, "log_perplexity"), bands(scores, "pooled")
+    limits = spark.createDataFrame([(k, *own[k], *pooled[k]) for k in own], "lang_key long, low double, high double, pooled_low double, pooled_high double")
+    inside = F.col("low").isNull() | F.col("log_perplexity").between(F.col("low"), F.col("high")) | F.col("pooled").between(F.col("pooled_low"), F.col("pooled_high"))
     joined = scores.join(F.broadcast(limits), "lang_key", "left")
     return joined.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", F.col("low").alias("band_low"), F.col("high").alias("band_high"))
 
