@@ -26,6 +26,8 @@ ODD = re.compile(" (?![!-~¡-ᙿ])")
 #: What is split here: ASCII without blanks but the line end and the space, and precomposed Latin letters and marks.
 PLAIN = re.compile("[\n -~¡-¬®-ɏ]*")
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that are parts of their own between a letter and a space.
+MARKS = frozenset(".,;:!?")
 NOTHING = b""
 
 
@@ -53,48 +55,57 @@ class SegmentEncoder:
             self.split = self.splitter(json.load(f))
 
     @staticmethod
-    def splitter(config: dict) -> Callable[[str], list[str]] | None:
-        """The vocabulary's normalization and split for PLAIN segments; None if it's of a kind not known here."""
+    def splitter(config: dict) -> tuple[Callable[[str], list[str]], bool] | None:
+        """The vocabulary's split of PLAIN segments, and whether it lowers case and drops white space before; None if it's
+        of a kind not known here."""
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
         if config["normalizer"] is None and config["pre_tokenizer"] == byte_level | {"use_regex": True}:
-            return regex.compile(BYTE_PATTERN).findall
+            return regex.compile(BYTE_PATTERN).findall, False
         steps = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
         parts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
         if steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[1] == byte_level | {"use_regex": False} and parts[0].get("behavior") == "Removed" and parts[0].get("invert"):
-            find = regex.compile(parts[0]["pattern"]["Regex"]).findall
-            return lambda segment: find(segment.lower())
+            return regex.compile(parts[0]["pattern"]["Regex"]).findall, True
         return None
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def segments(self, found: list[str]) -> list[bytes]:
-        """ids of segments, each encoded by itself."""
+    def segments(self, found: list[str], lead: str = "") -> list[bytes]:
+        """ids of segments, each encoded by itself, with `lead` before it."""
         if self.split is None:
-            return self.library(found)
-        out: list[bytes] = []
-        split, merge = self.split, self.tokenizer.model.tokenize
+            return self.library([lead + s for s in found])
+        split, lower = self.split
+        lead_kept = "" if lower else lead
         if len(self.parts) > self.limit:
             self.parts.clear()
-        parts = self.parts
+        parts, learn = self.parts, self.part
+        out: list[bytes] = []
         others = []
         for i, segment in enumerate(found):
-            if segment.isascii() and segment.isprintable() or PLAIN.fullmatch(segment):
-                ids = []
-                for part in split(segment):
-                    if (known := parts.get(part)) is None:
-                        spelt = part.replace(" ", SPACE).replace("\n", LINE) if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-                        known = parts[part] = array("I", [t.id for t in merge(spelt)]).tobytes()
-                    ids.append(known)
-                out.append(b"".join(ids))
-            else:
+            if not (segment.isascii() and segment.isprintable() or PLAIN.fullmatch(segment)):
                 others.append(i)
                 out.append(NOTHING)
+                continue
+            if lower:
+                segment = segment.lower()
+            # letters alone are one part, and so is a mark after them: no pattern needed
+            if segment.isalpha():
+                cut = [lead_kept + segment]
+            elif segment[:-1].isalpha() and segment[-1] in MARKS:
+                cut = [lead_kept + segment[:-1], segment[-1]]
+            else:
+                cut = split(lead_kept + segment)
+            out.append(b"".join([parts.get(p) or learn(p) for p in cut]))
         if others:
-            for i, ids in zip(others, self.library([found[i] for i in others]), strict=True):
+            for i, ids in zip(others, self.library([lead + found[i] for i in others]), strict=True):
                 out[i] = ids
         return out
 
+    def part(self, part: str) -> bytes:
+        spelt = part.replace(" ", SPACE).replace("\n", LINE) if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text's first segment is encoded as it stands, each later one with the space before it."""
         out: list[bytes] = [NOTHING] * len(texts)
@@ -112,7 +123,7 @@ class SegmentEncoder:
         """ids of segments, given without the space before them."""
         if len(self.cache) > self.limit:
             self.older, self.cache = self.cache, {}
-        return through(words, self.cache, self.older, lambda fresh: self.segments([" " + w for w in fresh]))
+        return through(words, self.cache, self.older, lambda fresh: self.segments(fresh, " "))
 
 
 def through(words: list[str], cache: dict[str, bytes], older: dict[str, bytes], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
@@ -140,7 +151,7 @@ def gathered(texts: list[str], ids_of: Callable[[list[str]], list[bytes]], ids_o
     offsets = cut.offsets.to_numpy()
     numbered = cut.flatten().dictionary_encode()
     numbers = numbered.indices.to_numpy().astype(np.int64)
-    ids = ids_of(numbered.dictionary.to_pylist())
+    ids = ids_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
     if ids_of_heads is not None:
         heads = offsets[:-1]
         first = numbered.dictionary.take(pa.array(numbers[heads])).to_pylist()
