@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars (Kiveris et al., 2014).
 
-No node's neighbours are ever gathered: minima are partial aggregates, joined back to the edges, and the join may be split
-where a node has very many edges. Each round is a table in the shared folder.
+No node's neighbours are ever gathered: minima are partial aggregates, joined back to the edges. They are dealt anew before
+the join, so that adaptive execution may split a node that has very many edges. Each round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +38,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     arcs = edges.union(edges.select(F.col("b"), F.col("a"))) if large else edges
     arcs = arcs.toDF("u", "v")
     least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = arcs.join(least, "u")
+    joined = arcs.join(least.repartition(partitions(edges.sparkSession)), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

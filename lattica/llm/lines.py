@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
+from .common import bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
 from .components import connected_components
 from .rolling import Rolling
 
@@ -292,7 +292,8 @@ def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CH
     classed = lines.drop("line").join(components.withColumnRenamed("node", "line_id"), "line_id", "left").where("component is not null or n > 1")
     classed = classed.select("h1", "h2", F.coalesce("component", "line_id").alias("class"))
     found = written(every.select("doc_id", "pos", F.length("line").alias("size"), "h1", "h2").join(classed, ["h1", "h2"]).drop("h1", "h2"), "line-classes")
-    origins = found.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    # dealt anew, so that the join may split a class that very many lines belong to
+    origins = found.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first")).repartition(partitions(docs.sparkSession))
     known = found.join(origins, "class").select("doc_id", "pos", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"))
     return known.where((F.col("doc_id") != F.col("first_doc_id")) | (F.col("pos") != F.col("first_pos")))
 
