@@ -32,10 +32,14 @@ BLANKS = " \t\n\v\f\r"
 BAND_WIDTH = 7.0
 #: No band is nearer to the median than this.
 LEAST_BAND = 1.0
-#: A language with fewer documents has no bands.
+#: A language with fewer documents has no model and bands of its own, but the pooled model and bands drawn to its.
 LEAST_DOCUMENTS = 50
+#: For such a language, the median of all documents counts like that of so many of its own.
+SHRINKAGE = 5
 #: The model of all languages; no language has this key.
 POOLED = -1
+#: The key that text of languages without a model is counted under.
+REST = 0
 #: Log-perplexities are counted in steps of this size for medians.
 STEP = 1 / 128
 #: Characters of a batch that are coded at once.
@@ -96,11 +100,12 @@ def language_key(lang: str | None) -> int:
 
 
 def by_language(langs: list[str | None], texts: list[str | None], known: Container[int] | None = None) -> dict[int, list[int]]:
-    """Rows that have text, by language; of known languages alone, if these are given."""
+    """Rows that have text, by language; if known languages are given, all others together are REST."""
     found: dict[int, list[int]] = {}
     for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-        if text and (known is None or language_key(lang) in known):
-            found.setdefault(language_key(lang), []).append(i)
+        if text:
+            key = language_key(lang)
+            found.setdefault(key if known is None or key in known else REST, []).append(i)
     return found
 
 
@@ -120,13 +125,13 @@ RECORD = np.dtype([("lang", "<u8"), ("code", "<u4"), ("n", "<u8")])
 
 
 def frequent_languages(docs: DataFrame, least: int) -> frozenset[int]:
-    """Keys of the languages with at least so many documents: the others have no bands, so they need no model."""
+    """Keys of the languages with at least so many documents: the others have no model of their own, so that models are few."""
     counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return frozenset(language_key(r.lang) for r in counted.select("lang").collect())
 
 
 def count_ngrams(docs: DataFrame, known: Container[int] | None = None) -> DataFrame:
-    """docs(text, lang) to rows (payload): packed RECORDs, each n-gram of each (known) language once, over all documents."""
+    """docs(text, lang) to rows (payload): packed RECORDs, each n-gram of each language once, over all documents; languages that aren't known are one."""
     buckets = partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ SCHEMA = "doc_id long, lang_key long, n_words long, word_chars long, n_symbols l
 
 def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
     """docs(doc_id, text, lang): base features, and, by the language's model and the POOLED one, the negative log-probability of the text for each run of letters and
-    digits in it, so that marks put onto words count against them (null for no text and for languages without a model; without any run, the whole sum)."""
+    digits in it, so that marks put onto words count against them (null for no text, the first also for languages without a model; without any run, the whole sum)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +259,7 @@ def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
                 for some in cuts(rows, texts):
                     codes, starts = coded([texts[i] for i in some])
                     runs = np.maximum(np.add.reduceat(RUN_STARTS[codes & (CLASSES * CLASSES - 1)], starts, dtype=np.int64), 1)
-                    for key, scores in ((lang, out), (POOLED, pooled)):
+                    for key, scores in ((lang, out), (POOLED, pooled)) if lang != REST else ((POOLED, pooled),):
                         sums = np.add.reduceat(models[key].score(codes), starts, dtype=np.float64)
                         for i, s in zip(some, (-sums / runs).tolist(), strict=True):
                             scores[i] = s
@@ -271,40 +276,69 @@ def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[np.searchsorted(n, n[-1] / 2)])
 
 
-def bands(scores: DataFrame, name: str) -> dict[int, tuple[float, float]]:
-    """(low, high) by lang_key for a score. Medians come from counts by step: what the driver gets is bounded by the range of
-    scores."""
+Steps = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def score_steps(scores: DataFrame, name: str) -> Steps:
+    """By lang_key, the values of a score and how many documents have each. Medians come from counts by step: what the driver
+    gets is bounded by the range of scores."""
     steps = scores.where(F.col(name).isNotNull() & ~F.col("base_failed")).groupBy("lang_key", F.round(F.col(name) / STEP).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return {int(k): (part.s.to_numpy() * STEP, part.n.to_numpy()) for k, part in steps.toPandas().astype("int64").groupby("lang_key")}
+
+
+def band_width(spread: float) -> float:
+    return max(LEAST_BAND, BAND_WIDTH * 1.4826 * spread)
+
+
+def bands(steps: Steps) -> dict[int, tuple[float, float]]:
+    """(low, high) by lang_key for a score, of languages with enough documents."""
     found = {}
-    for lang, part in steps.toPandas().astype("int64").groupby("lang_key"):
-        if part.n.sum() >= LEAST_DOCUMENTS:
-            x, n = part.s.to_numpy() * STEP, part.n.to_numpy()
+    for lang, (x, n) in steps.items():
+        if n.sum() >= LEAST_DOCUMENTS:
             middle = weighted_median(x, n)
-            width = max(LEAST_BAND, BAND_WIDTH * 1.4826 * weighted_median(np.abs(x - middle), n))
-            found[int(lang)] = middle - width, middle + width
+            width = band_width(weighted_median(np.abs(x - middle), n))
+            found[lang] = middle - width, middle + width
+    return found
+
+
+def all_bands(steps: Steps) -> dict[int, tuple[float, float]]:
+    """bands, and for every other language ones that are drawn to those of all documents: the median is its own and that of all,
+    weighted by its documents and SHRINKAGE, the spread is that of all documents around the medians of their languages."""
+    found = bands(steps)
+    if len(found) < len(steps):
+        n = np.concatenate([n for _, n in steps.values()])
+        middles = {lang: weighted_median(*own) for lang, own in steps.items()}
+        every = weighted_median(np.concatenate([x for x, _ in steps.values()]), n)
+        width = band_width(weighted_median(np.concatenate([np.abs(x - middles[lang]) for lang, (x, _) in steps.items()]), n))
+        for lang, (_, own) in steps.items():
+            if lang not in found:
+                middle = (own.sum() * middles[lang] + SHRINKAGE * every) / (own.sum() + SHRINKAGE)
+                found[lang] = float(middle - width), float(middle + width)
     return found
 
 
 def quality(docs: DataFrame, label: str = "quality") -> DataFrame:
     """Per row of docs(doc_id, text, lang): base features, base_failed, log_perplexity, its bands, kept.
 
-    Null and empty texts have no words and so fail the base rules. Languages with few documents, null among them, have
-    no bands and keep what passes the base rules. Repeated rows give repeated results.
+    Null and empty texts have no words and so fail the base rules. Languages with few documents, null among them, are
+    judged by the model of all languages: log_perplexity and the bands are that model's then. Repeated rows give repeated results.
     """
     spark = docs.sparkSession
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = count_ngrams(docs, frequent_languages(docs, LEAST_DOCUMENTS)).collect()
     records = np.concatenate([np.empty(0, RECORD), *(np.frombuffer(r.payload, RECORD) for r in rows)])
-    models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"])}
+    models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"]) if k != REST}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    if models:
+    if len(records):
         models[POOLED] = Model(*run_lengths(records["code"], records["n"]))
     scores = written(scored(docs, models).withColumn("base_failed", failed), label)
-    own, pooled = bands(scores, "log_perplexity"), bands(scores, "pooled")
-    limits = spark.createDataFrame([(k, *own[k], *pooled[k]) for k in own], "lang_key long, low double, high double, pooled_low double, pooled_high double")
-    inside = F.col("low").isNull() | F.col("log_perplexity").between(F.col("low"), F.col("high")) | F.col("pooled").between(F.col("pooled_low"), F.col("pooled_high"))
+    own, pooled = bands(score_steps(scores, "log_perplexity")), all_bands(score_steps(scores, "pooled"))
+    limits = spark.createDataFrame([(k, *own.get(k, (None, None)), *pooled[k]) for k in pooled], "lang_key long, low double, high double, pooled_low double, pooled_high double")
+    without = F.col("low").isNull() & F.col("pooled_low").isNotNull()
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)) | F.coalesce(F.col("pooled").between(F.col("pooled_low"), F.col("pooled_high")), F.lit(False))
     joined = scores.join(F.broadcast(limits), "lang_key", "left")
-    return joined.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", F.col("low").alias("band_low"), F.col("high").alias("band_high"))
+    shown = [F.when(without, F.col(theirs)).otherwise(F.col(name)).alias(to) for name, theirs, to in (("log_perplexity", "pooled", "log_perplexity"), ("low", "pooled_low", "band_low"), ("high", "pooled_high", "band_high"))]
+    return joined.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), *shown)
 
 
 def op2_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

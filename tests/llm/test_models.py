@@ -106,6 +106,22 @@ def test_bands_reject_junk_and_keep_prose(spark):
         assert (rows[k].n_words, rows[k].word_chars, rows[k].n_symbols, rows[k].n_dup_lines, rows[k].n_repeat_words) == plain_features(t)
 
 
+def test_rare_languages_are_judged(spark):
+    r = random.Random(2)
+    german = [prose(k, 80, GERMAN) for k in range(12)]
+    junk = " ".join(w + r.choice(["&&&", "***", "%%%"]) for w in prose(600, 90, GERMAN).split())
+    short = prose(601, 10, GERMAN)
+    docs = documents(spark, [prose(k, 120) for k in range(80)]).unionByName(documents(spark, [*german, junk], range(100, 113), "de"))
+    docs = docs.unionByName(documents(spark, [prose(700, 90)], [200], None)).unionByName(documents(spark, [short] * 45, range(300, 345), "de"))
+    for table in (docs.where("doc_id < 300"), docs):  # too few documents, and too few that pass the base rules
+        rows = {x.doc_id: x for x in quality.quality(table).collect()}
+        assert not rows[112].kept and not rows[112].base_failed and rows[112].log_perplexity > rows[112].band_high
+        assert all(rows[k].kept for k in (*range(80), *range(100, 112), 200))
+    known = quality.frequent_languages(docs.where("doc_id < 300"), quality.LEAST_DOCUMENTS)
+    counted = [sum(int(np.frombuffer(x.payload, quality.RECORD)["n"].sum()) for x in quality.count_ngrams(docs, k).collect()) for k in (known, None)]
+    assert counted[0] == counted[1] == sum(len(x.text) for x in docs.collect())
+
+
 def language_docs(spark, n=160):
     texts = [prose(k, 30 + k % 40, GERMAN if k % 2 else langid_words()) for k in range(n)]
     return documents(spark, texts).selectExpr("doc_id", "text", "case when doc_id % 2 = 1 then 'de' else 'en' end as lang", "source", "n_chars")
