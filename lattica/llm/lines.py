@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
@@ -28,8 +28,8 @@ BLOCK = 1024
 #: Code points of lines that are hashed, or whose groups are compared, at once.
 CHUNK = 1 << 20
 BINS = 32
-#: A document that would lose more than this part of its characters to others is a copy, not a text with repeated lines.
-MOST_DROPPED = 0.5
+#: A document is a copy if this part of its characters comes from a single earlier document, and is this part of that one.
+NEARLY_ALL = 0.8
 
 
 def segment_starts(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,18 +302,52 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     """One row per document: n_lines, n_duplicates, duplicates (line numbers from 0 with the first line of their class),
     n_dropped and dropped.
 
-    The duplicates of a document are dropped unless those of other documents' lines are over half of its characters: such a
-    document is a copy as a whole, which near-duplicate detection of documents deals with. Null and empty texts have no lines. Rows with an
+    The duplicates of a document are dropped, with one exception: of a document that is a copy as a whole, which near-duplicate
+    detection of documents deals with, only repeats within the document are. A copy has nearly all of its characters in lines that
+    one earlier document began, and nearly all that this one has in different lines. Null and empty texts have no lines. Rows with an
     equal doc_id are one document's rows: their duplicates are listed for each.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "size", "first_doc_id", "first_pos"))).alias("found"))
+    found = duplicate_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_doc_id", "first_pos", "pos", "size"))).alias("found"))
+    found = written(found.select("doc_id", "found", *main_source()), "line-duplicates")
     size = F.length("text")
-    shape = docs.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_chars"), F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"))
-    joined = shape.join(found.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,size:int,first_doc_id:bigint,first_pos:int>>")))
-    total = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + F.when(x["first_doc_id"] == F.col("doc_id"), 0).otherwise(x["size"]))
-    dropped = F.when(total <= MOST_DROPPED * F.col("n_chars"), F.transform("found", lambda x: x["pos"])).otherwise(F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", F.size("found").cast("long").alias("n_duplicates"), F.transform("found", lambda x: F.struct(x["pos"].alias("line"), x["first_doc_id"], x["first_pos"].alias("first_line"))).alias("duplicates"), dropped.alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
+    n_lines = F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    shape = docs.select("doc_id", n_lines.alias("n_lines"), F.greatest(F.coalesce(size, F.lit(0)) - n_lines + 1, F.lit(0)).alias("n_chars"))  # without line ends
+    # what a source has in different lines: all but its own repeats
+    maybe = found.where("source is not null").select(F.col("doc_id").alias("copy_id"), "source", "from_source", "source_lines")
+    origins = shape.groupBy("doc_id").agg(F.max("n_chars").alias("of_source")).join(found.select(F.col("doc_id").alias("id"), "repeats"), F.col("doc_id") == F.col("id"), "left")
+    whole = maybe.join(origins.select(F.col("doc_id").alias("source"), (F.col("of_source") - F.coalesce("repeats", F.lit(0))).alias("of_source")), "source")
+    copies = whole.where(F.col("source_lines") >= NEARLY_ALL * F.col("of_source")).select("copy_id", "from_source")
+    joined = shape.join(found.select(F.col("doc_id").alias("id"), "found"), F.col("doc_id").eqNullSafe(F.col("id")), "left").join(copies, F.col("doc_id") == F.col("copy_id"), "left")
+    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<first_doc_id:bigint,first_pos:int,pos:int,size:int>>")))
+    copy = F.coalesce(F.col("from_source") >= NEARLY_ALL * F.col("n_chars"), F.lit(False))
+    dropped = F.filter("found", lambda x, i: ~copy | (x["first_doc_id"] == F.col("doc_id")) | same_origin(x, F.get("found", i - 1)))
+    listed = F.array_sort(F.transform("found", lambda x: F.struct(x["pos"].alias("line"), x["first_doc_id"], x["first_pos"].alias("first_line"))))
+    return joined.select("doc_id", "n_lines", F.size("found").cast("long").alias("n_duplicates"), listed.alias("duplicates"), F.array_sort(F.transform(dropped, lambda x: x["pos"])).alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
+
+
+def same_origin(x: Column, y: Column) -> Column:
+    return F.coalesce((x["first_doc_id"] == y["first_doc_id"]) & (x["first_pos"] == y["first_pos"]), F.lit(False))
+
+
+def main_source() -> list[Column]:
+    """Of duplicates sorted by origin: the other document that most characters come from, how many, how many of them in different
+    lines of that one, and the characters in repeats of the document's own lines."""
+    state = "struct<doc:bigint,line:int,n:bigint,lines:bigint,source:bigint,from_source:bigint,source_lines:bigint>"
+
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(s["doc"] == x["first_doc_id"], F.lit(False))
+        size = F.when(x["first_doc_id"] == F.col("doc_id"), 0).otherwise(x["size"])
+        n = F.when(same, s["n"]).otherwise(0) + size
+        lines = F.when(same, s["lines"]).otherwise(0) + F.when(same & (s["line"] == x["first_pos"]), 0).otherwise(size)
+        more = n > s["from_source"]
+        best = (F.when(more, a).otherwise(b) for a, b in ((x["first_doc_id"], s["source"]), (n, s["from_source"]), (lines, s["source_lines"])))
+        return F.struct(*(c.alias(name) for c, name in zip((x["first_doc_id"], x["first_pos"], n, lines, *best), ("doc", "line", "n", "lines", "source", "from_source", "source_lines"), strict=True))).cast(state)
+
+    nothing = F.struct(*(F.lit(v).alias(name) for name, v in (("doc", None), ("line", None), ("n", 0), ("lines", 0), ("source", None), ("from_source", 0), ("source_lines", 0)))).cast(state)
+    best = F.aggregate("found", nothing, step)
+    repeats = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + F.when(x["first_doc_id"] == F.col("doc_id"), x["size"]).otherwise(0))
+    return [best["source"].alias("source"), best["from_source"].alias("from_source"), best["source_lines"].alias("source_lines"), repeats.alias("repeats")]
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:

@@ -123,6 +123,19 @@ def test_lines_dropped_and_kept(spark):
     assert out[1].text == f"{prose(2, 30)}\nend" and out[1].n_chars == len(out[1].text) and out[2].text == texts[2]
 
 
+def test_only_copies_of_one_document_keep_their_lines(spark):
+    licence = "this page may be copied by whoever names its author and this licence"
+    parts = [prose(k, 12) for k in range(20, 28)]
+    texts = [f"{prose(10, 40)}\n{licence}", f"short page of its own\n{licence}", "\n".join(parts[:4]), "\n".join(parts[4:]), "\n".join(parts[2:6])]
+    texts += ["\n".join([*parts[:4], parts[1]]), "\n".join(parts[:2]), "\n".join([parts[7], parts[7]])]
+    rows = {r.doc_id: r for r in lines.line_report(documents(spark, texts)).collect()}
+    assert rows[1].dropped == [1]  # the licence is most of it
+    assert rows[4].dropped == [0, 1, 2, 3]  # passages of two documents
+    assert rows[5].n_duplicates == 5 and rows[5].dropped == [4]  # a copy with a repeat
+    assert rows[6].dropped == [0, 1] and rows[7].dropped == [0, 1]  # parts of one document
+    assert [rows[k].n_dropped for k in (0, 2, 3)] == [0, 0, 0]
+
+
 def plain_passages(texts, least):
     where = defaultdict(list)
     for d, t in enumerate(texts):
