@@ -21,7 +21,8 @@ from .components import connected_components
 from .rolling import Rolling
 
 MAX_EDITS = 2
-#: Shorter lines (code points) are left alone: at two edits most of them would be alike.
+#: Shorter lines (code points) are compared for equality alone, as at two edits most of them would be alike. Their duplicates
+#: are listed but not dropped: 'end' or '}' that stands elsewhere is no boilerplate by that.
 MIN_CHARS = 16
 #: A group beyond this size is compared in blocks, each pair of blocks apart.
 BLOCK = 1024
@@ -279,16 +280,16 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return kept.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, shorter: bool = False) -> DataFrame:
     """(doc_id, pos, size, first_doc_id, first_pos) for every line of a class that an earlier line began.
 
-    docs(doc_id, text). Earlier means a smaller doc_id, then a smaller line number. size is the line's length. Documents
-    without a doc_id are left alone.
+    docs(doc_id, text). Earlier means a smaller doc_id, then a smaller line number. size is the line's length. With
+    `shorter`, lines below `least` are of a class if they are equal. Documents without a doc_id are left alone.
     """
-    every = occurrences(docs, least)
+    every = occurrences(docs, 1 if shorter else least)
     distinct = every.groupBy("line", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     lines = written(distinct.withColumn("line_id", F.monotonically_increasing_id()), "lines")
-    components = connected_components(edit_links(lines, edits), "line-links")
+    components = connected_components(edit_links(lines.where(F.length("line") >= least), edits), "line-links")
     classed = lines.drop("line").join(components.withColumnRenamed("node", "line_id"), "line_id", "left").where("component is not null or n > 1")
     classed = classed.select("h1", "h2", F.coalesce("component", "line_id").alias("class"))
     found = written(every.select("doc_id", "pos", F.length("line").alias("size"), "h1", "h2").join(classed, ["h1", "h2"]).drop("h1", "h2"), "line-classes")
@@ -302,13 +303,14 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     """One row per document: n_lines, n_duplicates, duplicates (line numbers from 0 with the first line of their class),
     n_dropped and dropped.
 
-    The duplicates of a document are dropped, with one exception: of a document that is a copy as a whole, which near-duplicate
+    Lines below `least` code points are duplicates if they equal an earlier line, and never dropped. The other duplicates of a
+    document are dropped, with one exception: of a document that is a copy as a whole, which near-duplicate
     detection of documents deals with, only repeats within the document are. A copy has nearly all of its characters in lines that
     one earlier document began, and nearly all that this one has in different lines. Null and empty texts have no lines. Rows with an
     equal doc_id are one document's rows: their duplicates are listed for each.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_doc_id", "first_pos", "pos", "size"))).alias("found"))
+    found = duplicate_lines(docs, edits, least, shorter=True).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_doc_id", "first_pos", "pos", "size"))).alias("found"))
     found = written(found.select("doc_id", "found", *main_source()), "line-duplicates")
     size = F.length("text")
     n_lines = F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
@@ -321,7 +323,7 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     joined = shape.join(found.select(F.col("doc_id").alias("id"), "found"), F.col("doc_id").eqNullSafe(F.col("id")), "left").join(copies, F.col("doc_id") == F.col("copy_id"), "left")
     joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<first_doc_id:bigint,first_pos:int,pos:int,size:int>>")))
     copy = F.coalesce(F.col("from_source") >= NEARLY_ALL * F.col("n_chars"), F.lit(False))
-    dropped = F.filter("found", lambda x, i: ~copy | (x["first_doc_id"] == F.col("doc_id")) | same_origin(x, F.get("found", i - 1)))
+    dropped = F.filter("found", lambda x, i: (x["size"] >= least) & (~copy | (x["first_doc_id"] == F.col("doc_id")) | same_origin(x, F.get("found", i - 1))))
     listed = F.array_sort(F.transform("found", lambda x: F.struct(x["pos"].alias("line"), x["first_doc_id"], x["first_pos"].alias("first_line"))))
     return joined.select("doc_id", "n_lines", F.size("found").cast("long").alias("n_duplicates"), listed.alias("duplicates"), F.array_sort(F.transform(dropped, lambda x: x["pos"])).alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
 

@@ -123,6 +123,13 @@ def test_lines_dropped_and_kept(spark):
     assert out[1].text == f"{prose(2, 30)}\nend" and out[1].n_chars == len(out[1].text) and out[2].text == texts[2]
 
 
+def test_short_lines_are_counted(spark):
+    texts = [f"Read more\n{prose(1, 20)}", f"{prose(2, 20)}\nRead more\n \nRead mare", "Read more\nこれは同じ文です。\nこれは同じ文です。\n"]
+    rows = {r.doc_id: r for r in lines.line_report(documents(spark, texts)).collect()}
+    assert [[tuple(x) for x in rows[k].duplicates] for k in range(3)] == [[], [(1, 0, 0)], [(0, 0, 0), (2, 2, 1)]]
+    assert [rows[k].n_duplicates for k in range(3)] == [0, 1, 2] and not any(r.n_dropped for r in rows.values())
+
+
 def test_only_copies_of_one_document_keep_their_lines(spark):
     licence = "this page may be copied by whoever names its author and this licence"
     parts = [prose(k, 12) for k in range(20, 28)]
