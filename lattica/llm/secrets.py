@@ -68,7 +68,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 literals += constants[token]
             elif len(atoms) == 1:
                 literals.append((base + a.start(), base + a.end()))
-        literals = literals[:16]
+        literals = [*dict.fromkeys(literals)]  # each once, so that a = a + a doesn't grow
         constants[m["name"]] = literals
         if weight := name_weight(m["name"]):
             value = "".join(text[s:e] for s, e in literals)
