@@ -26,9 +26,12 @@ KINDS = ("assign", "access", "hex", "lexed")
 #: A name is sensitive by its parts; weights are of this operator's own choosing.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 2, "bearer": 2, "authorization": 2, "pass": 2, "signature": 2, "salt": 1, "key": 1, "pin": 1, "session": 1, "cookie": 1, "dsn": 1}
 THRESHOLD = 4.0
-#: Names and literals: `name = "x"`, `name: x`, `"name": "x"`, `name => x`, `export NAME=x`.
+#: A type between a name and `=`: `str`, `string | null`, `Optional[str]`, `String?`, `&'static str`, `"Final[str]"`.
+KIND_OF = r"""&?(?:'[a-z_]+[\x20\t]+)?[A-Za-z_][A-Za-z0-9_.]*(?:(?:\[[A-Za-z0-9_.,|?&'<>\[\]\x20\t]*\]|<[A-Za-z0-9_.,|?&'<>\[\]\x20\t]*>))?[?!]?"""
+TYPE = rf"""(?:{KIND_OF}(?:[\x20\t]*\|[\x20\t]*{KIND_OF})*|"[A-Za-z_][^"\n=:]*"|'[A-Za-z_][^'\n=:]*')"""
+#: Names and literals: `name = "x"`, `name: x`, `"name": "x"`, `name => x`, `export NAME=x`, `name: type = "x"`.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=q)[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z0-9+/_.=@$!%-]+)(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*))*)""",
+    rf"""(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=q)(?:[\x20\t]*:[\x20\t]*(?P<type>{TYPE})(?=[\x20\t]+=[\x20\t]|[\x20\t]*=[\x20\t]*["']))?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z0-9+/_.=@$!%-]+)(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*))*)""",
     re.A,
 )
 ATOM = re.compile(r""""[^"\n]*"|'[^'\n]*'|[A-Za-z0-9+/_.=@$!%-]+""", re.A)
@@ -71,12 +74,20 @@ def lexed(text: str) -> list[tuple[int, int]]:
         literals = [*dict.fromkeys(literals)]  # each once, so that a = a + a doesn't grow
         constants[m["name"]] = literals
         if weight := name_weight(m["name"]):
-            value = "".join(text[s:e] for s, e in literals)
-            if len(value) >= 6 and value.lower() not in PLACEHOLDERS and not value.startswith(("${", "$", "<", "http:", "https:")) and weight + randomness(value) >= THRESHOLD:
-                found += [(s, e) for s, e in literals if e > s]
+            found += secret(text, weight, literals)
+            if m["type"] and any(map(str.isdigit, m["type"])):  # may as well be a bare value that ends in =
+                found += secret(text, weight, [m.span("type")])
     return sorted(set(found))
 
 
+def secret(text: str, weight: float, literals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The literals, if together they look like a secret of a name of this weight."""
+    value = "".join(text[s:e] for s, e in literals)
+    if len(value) >= 6 and value.lower() not in PLACEHOLDERS and not value.startswith(("${", "$", "<", "http:", "https:")) and weight + randomness(value) >= THRESHOLD:
+        return [(s, e) for s, e in literals if e > s]
+    return []
+
+
 #: A pair needs one of these, whatever stands around it; texts without any aren't lexed.
 MAY_LEX = re.compile("|".join(sorted({"pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "sign", "salt", "pin", "session", "cookie", "dsn"})))
 MAY_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")

@@ -100,6 +100,19 @@ def test_lexing(text, found):
     assert [text[s:e] for s, e in secrets.lexed(text)] == found
 
 
+@pytest.mark.parametrize("kind", ["str", "String", "string | null", "Optional[str]", "Dict[str, List[str]]", "String?", "&'static str", "&str", '"Final[str]"', "t.Final"])
+def test_typed_names(kind):
+    text = f'password: {kind} = "Zx81kq0LmP22"\nnext = 1'
+    assert [text[s:e] for s, e in secrets.lexed(text)] == ["Zx81kq0LmP22"]
+    text = f'K:{kind}="Zx81kq0" + "LmP22"\nclient_secret = K'
+    assert [text[s:e] for s, e in secrets.lexed(text)] == ["Zx81kq0", "LmP22"]
+
+
+def test_what_is_no_type():
+    for text, found in (('user: bob password = "Zx81kq0LmP22"', ["Zx81kq0LmP22"]), ('f(mode: x, password = "Zx81kq0LmP22")', ["Zx81kq0LmP22"]), ("token: abcDEF123456=\nx = 1", ["abcDEF123456="]), ("token: abcDEF123456 = other", ["abcDEF123456"])):
+        assert [text[s:e] for s, e in secrets.lexed(text)] == found
+
+
 def test_joined_literals_are_all_found():
     parts = [f"p{k}Q" for k in range(40)]
     text = "api_key = " + " + ".join(f'"{p}"' for p in parts)
