@@ -3,7 +3,7 @@
 The vocabularies of the `tokenizers` library that are used here split a text at white space before any merge, so no token
 crosses a space that stands before a visible character. A segment that isn't cached is split by the vocabulary's own
 pattern and merged by the library's model; segments with characters beyond Latin letters and ASCII, and texts with
-any other kind of space, are given to the library whole.
+any other kind of space, or with the string of an added token, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -39,20 +39,29 @@ def byte_letters() -> dict[int, int]:
 
 
 class SegmentEncoder:
-    """ids of texts as little-endian uint32 bytes. `limit`: segments kept in each of two generations."""
+    """ids of texts as little-endian uint32 bytes. `limit`: segments kept in each of two generations. `plain_special`: the
+    strings of special tokens in a text are ordinary text; the library's own default, which operators use, gives them their ids."""
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 450_000, plain_special: bool = True):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_special
         self.limit = limit
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         with open(path) as f:
-            self.split = self.splitter(json.load(f))
+            config = json.load(f)
+        self.split = self.splitter(config)
+        # normalizers may change case before added tokens are looked for; what has no case tells quickly where none is
+        added = [t["content"] for t in config.get("added_tokens", ()) if not (plain_special and t["special"])]
+        self.marks = {max(re.split(r"[^\W\d_]+", t), key=len) for t in added}
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE)
+
+    def is_odd(self, text: str) -> bool:
+        return bool(ODD.search(text) or any(m in text for m in self.marks) and self.added.search(text))
 
     @staticmethod
     def splitter(config: dict) -> tuple[Callable[[str], list[str]], bool] | None:
@@ -109,8 +118,9 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text's first segment is encoded as it stands, each later one with the space before it."""
         out: list[bytes] = [NOTHING] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)]
-        odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if t and self.is_odd(t)]
+        known = {*odd}
+        plain = [i for i, t in enumerate(texts) if t and i not in known]
         for some, ids in ((odd, self.library), (plain, self.by_segments)):
             for i, x in zip(some, ids([texts[i] for i in some]) if some else [], strict=True):
                 out[i] = x
@@ -174,4 +184,4 @@ SPACE, LINE = (chr(BYTE_LETTERS[ord(c)]) for c in " \n")
 @functools.lru_cache(maxsize=2)
 def segment_encoder(path: str) -> SegmentEncoder:
     """One for each worker process, kept from task to task."""
-    return SegmentEncoder(path)
+    return SegmentEncoder(path, plain_special=False)

@@ -26,6 +26,24 @@ def test_segments_equal_whole_texts(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(TEXTS)] == [whole.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_operators_give_added_tokens_their_ids(spark, path):
+    whole = Tokenizer.from_file(path)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = [*TEXTS, "end of page <|endoftext|> next page", *(f"a {t} b{t}c\n{t}" for t in added), *(f"x {t.upper()}y" for t in added), "<|startoftext|>a<|endoftext|>"]
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole.token_to_id("<|endoftext|>") in expected[len(TEXTS)]
+    encoder = wordcache.segment_encoder(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected
+    docs, end = documents(spark, texts), 0 if path == BYTE else 2
+    crcs = [zlib.crc32(np.array([*ids, end], "<u4").tobytes()) for ids in expected]
+    if path == BYTE:
+        rows = bitplanes.read_shards(bitplanes.write_shards(docs, path)).collect()
+        assert [r.ids_crc32 for r in sorted(rows, key=lambda r: r.doc_id)] == crcs
+    else:
+        check_pieces(packing.pack_documents(docs, path).collect(), {i: np.array([*ids, end], "<u4") for i, ids in enumerate(expected)})
+
+
 def test_agenda_equals_library():
     encoder = pieces.PieceEncoder(PIECE, limit=50)
     expected = encoder.library.encode(TEXTS, add_bos=True, add_eos=True)
