@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
@@ -21,16 +21,13 @@ from .components import connected_components
 from .rolling import Rolling
 
 MAX_EDITS = 2
-#: Shorter lines (code points) are compared for equality alone, as at two edits most of them would be alike. Their duplicates
-#: are listed but not dropped: 'end' or '}' that stands elsewhere is no boilerplate by that.
+#: Shorter lines (code points) are compared for equality alone, as at two edits most of them would be alike.
 MIN_CHARS = 16
 #: A group beyond this size is compared in blocks, each pair of blocks apart.
 BLOCK = 1024
 #: Code points of lines that are hashed, or whose groups are compared, at once.
 CHUNK = 1 << 20
 BINS = 32
-#: A document is a copy if this part of its characters comes from a single earlier document, and is this part of that one.
-NEARLY_ALL = 0.8
 
 
 def segment_starts(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,90 +270,66 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     return groups.repartition(buckets, "group").sortWithinPartitions("group", "line_id").mapInArrow(compare, "a long, b long")
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, pos, line, h1, h2) for every line with a doc_id, of at least `least` code points with something but blanks in it."""
-    split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    kept = split.where((F.length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): rows are told apart by both, as a doc_id may be null or stand in several rows."""
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
-def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, shorter: bool = False) -> DataFrame:
-    """(doc_id, pos, size, first_doc_id, first_pos) for every line of a class that an earlier line began.
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, line, h1, h2) for every line with something but blanks in it."""
+    split = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return split.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
-    docs(doc_id, text). Earlier means a smaller doc_id, then a smaller line number. size is the line's length. With
-    `shorter`, lines below `least` are of a class if they are equal. Documents without a doc_id are left alone.
+
+def duplicate_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, text_hash, pos, first_doc_id, first_pos) for every line of a class that an earlier line began.
+
+    docs as `keyed` gives them. Lines of `least` code points and more are of a class if a chain of lines within `edits` edits
+    connects them, shorter ones if they are equal. Earlier means a smaller doc_id (null last), then a smaller text_hash,
+    then a smaller line number. Rows with equal doc_id and text are one document's.
     """
-    every = occurrences(docs, 1 if shorter else least)
+    every = occurrences(docs)
     distinct = every.groupBy("line", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     lines = written(distinct.withColumn("line_id", F.monotonically_increasing_id()), "lines")
     components = connected_components(edit_links(lines.where(F.length("line") >= least), edits), "line-links")
     classed = lines.drop("line").join(components.withColumnRenamed("node", "line_id"), "line_id", "left").where("component is not null or n > 1")
     classed = classed.select("h1", "h2", F.coalesce("component", "line_id").alias("class"))
-    found = written(every.select("doc_id", "pos", F.length("line").alias("size"), "h1", "h2").join(classed, ["h1", "h2"]).drop("h1", "h2"), "line-classes")
+    found = written(every.select("doc_id", "text_hash", "pos", "h1", "h2").join(classed, ["h1", "h2"]).drop("h1", "h2"), "line-classes")
     # dealt anew, so that the join may split a class that very many lines belong to
-    origins = found.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first")).repartition(partitions(docs.sparkSession))
-    known = found.join(origins, "class").select("doc_id", "pos", "size", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"))
-    return known.where((F.col("doc_id") != F.col("first_doc_id")) | (F.col("pos") != F.col("first_pos")))
+    place = F.struct(F.isnull("doc_id"), "doc_id", "text_hash", "pos")
+    origins = found.groupBy("class").agg(F.min(place).alias("first")).repartition(partitions(docs.sparkSession))
+    known = found.join(origins, "class").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash")) | (F.col("pos") != F.col("first.pos")))
+    return known.select("doc_id", "text_hash", "pos", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"))
+
+
+def by_document(duplicates: DataFrame) -> DataFrame:
+    """(id, hash, found): the duplicates of each document, in order. No list is longer than the document has lines."""
+    found = F.array_sort(F.collect_set(F.struct(F.col("pos").alias("line"), "first_doc_id", F.col("first_pos").alias("first_line"))))
+    return duplicates.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(found.alias("found"))
 
 
 def line_report(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """One row per document: n_lines, n_duplicates, duplicates (line numbers from 0 with the first line of their class),
-    n_dropped and dropped.
-
-    Lines below `least` code points are duplicates if they equal an earlier line, and never dropped. The other duplicates of a
-    document are dropped, with one exception: of a document that is a copy as a whole, which near-duplicate
-    detection of documents deals with, only repeats within the document are. A copy has nearly all of its characters in lines that
-    one earlier document began, and nearly all that this one has in different lines. Null and empty texts have no lines. Rows with an
-    equal doc_id are one document's rows: their duplicates are listed for each.
+    """One row per row of docs(doc_id, text): n_lines, n_duplicates, and duplicates (line numbers from 0, with the first line
+    of their class), which are the lines that `drop_lines` drops.
+
+    Null and empty texts have no lines; lines of blanks alone are never duplicates. Rows with an equal doc_id and different texts, or
+    without a doc_id, are documents of their own; rows with equal doc_id and text are one document's, and each gets its list.
     """
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_lines(docs, edits, least, shorter=True).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_doc_id", "first_pos", "pos", "size"))).alias("found"))
-    found = written(found.select("doc_id", "found", *main_source()), "line-duplicates")
-    size = F.length("text")
-    n_lines = F.when(size > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
-    shape = docs.select("doc_id", n_lines.alias("n_lines"), F.greatest(F.coalesce(size, F.lit(0)) - n_lines + 1, F.lit(0)).alias("n_chars"))  # without line ends
-    # what a source has in different lines: all but its own repeats
-    maybe = found.where("source is not null").select(F.col("doc_id").alias("copy_id"), "source", "from_source", "source_lines")
-    origins = shape.groupBy("doc_id").agg(F.max("n_chars").alias("of_source")).join(found.select(F.col("doc_id").alias("id"), "repeats"), F.col("doc_id") == F.col("id"), "left")
-    whole = maybe.join(origins.select(F.col("doc_id").alias("source"), (F.col("of_source") - F.coalesce("repeats", F.lit(0))).alias("of_source")), "source")
-    copies = whole.where(F.col("source_lines") >= NEARLY_ALL * F.col("of_source")).select("copy_id", "from_source")
-    joined = shape.join(found.select(F.col("doc_id").alias("id"), "found"), F.col("doc_id").eqNullSafe(F.col("id")), "left").join(copies, F.col("doc_id") == F.col("copy_id"), "left")
-    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<first_doc_id:bigint,first_pos:int,pos:int,size:int>>")))
-    copy = F.coalesce(F.col("from_source") >= NEARLY_ALL * F.col("n_chars"), F.lit(False))
-    dropped = F.filter("found", lambda x, i: (x["size"] >= least) & (~copy | (x["first_doc_id"] == F.col("doc_id")) | same_origin(x, F.get("found", i - 1))))
-    listed = F.array_sort(F.transform("found", lambda x: F.struct(x["pos"].alias("line"), x["first_doc_id"], x["first_pos"].alias("first_line"))))
-    return joined.select("doc_id", "n_lines", F.size("found").cast("long").alias("n_duplicates"), listed.alias("duplicates"), F.array_sort(F.transform(dropped, lambda x: x["pos"])).alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
-
-
-def same_origin(x: Column, y: Column) -> Column:
-    return F.coalesce((x["first_doc_id"] == y["first_doc_id"]) & (x["first_pos"] == y["first_pos"]), F.lit(False))
-
-
-def main_source() -> list[Column]:
-    """Of duplicates sorted by origin: the other document that most characters come from, how many, how many of them in different
-    lines of that one, and the characters in repeats of the document's own lines."""
-    state = "struct<doc:bigint,line:int,n:bigint,lines:bigint,source:bigint,from_source:bigint,source_lines:bigint>"
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(s["doc"] == x["first_doc_id"], F.lit(False))
-        size = F.when(x["first_doc_id"] == F.col("doc_id"), 0).otherwise(x["size"])
-        n = F.when(same, s["n"]).otherwise(0) + size
-        lines = F.when(same, s["lines"]).otherwise(0) + F.when(same & (s["line"] == x["first_pos"]), 0).otherwise(size)
-        more = n > s["from_source"]
-        best = (F.when(more, a).otherwise(b) for a, b in ((x["first_doc_id"], s["source"]), (n, s["from_source"]), (lines, s["source_lines"])))
-        return F.struct(*(c.alias(name) for c, name in zip((x["first_doc_id"], x["first_pos"], n, lines, *best), ("doc", "line", "n", "lines", "source", "from_source", "source_lines"), strict=True))).cast(state)
-
-    nothing = F.struct(*(F.lit(v).alias(name) for name, v in (("doc", None), ("line", None), ("n", 0), ("lines", 0), ("source", None), ("from_source", 0), ("source_lines", 0)))).cast(state)
-    best = F.aggregate("found", nothing, step)
-    repeats = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + F.when(x["first_doc_id"] == F.col("doc_id"), x["size"]).otherwise(0))
-    return [best["source"].alias("source"), best["from_source"].alias("from_source"), best["source_lines"].alias("source_lines"), repeats.alias("repeats")]
-
-
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs without the lines that line_report drops; n_chars, where there is one, follows. All rows and columns stay."""
-    key, drop = spare(docs, "dropped_id"), spare(docs, "dropped_lines")
-    drops = line_report(docs).where("n_dropped > 0").select(F.col("doc_id").alias(key), F.col("dropped").alias(drop)).dropDuplicates([key])
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    docs = keyed(docs)
+    found = by_document(duplicate_lines(docs, edits, least))
+    n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    joined = docs.select("doc_id", "text_hash", n_lines.alias("n_lines")).join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    listed = F.coalesce("found", F.array().cast("array<struct<line:int,first_doc_id:bigint,first_line:int>>"))
+    return joined.select("doc_id", "n_lines", F.size(listed).cast("long").alias("n_duplicates"), listed.alias("duplicates"))
+
+
+def drop_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """docs without the lines that `line_report` lists; n_chars, where there is one, follows. All rows and columns stay, and so do
+    texts without duplicates, null and empty ones among them; a text whose lines are all duplicates becomes empty."""
+    names = [spare(docs, x) for x in ("dropped_id", "dropped_hash", "dropped_lines")]
+    key, hashed, drop = names
+    drops = by_document(duplicate_lines(keyed(docs), edits, least)).select(F.col("id").alias(key), F.col("hash").alias(hashed), F.transform("found", lambda x: x["line"]).alias(drop))
+    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hashed)), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
     changed = {"text": F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
@@ -365,4 +338,5 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`line_report` of documents: a row per row, duplicates of any length. Null and empty texts have none; an empty table gives no row."""
     return line_report(table(spark, sf_dir, "documents"))

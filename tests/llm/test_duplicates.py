@@ -70,20 +70,45 @@ def test_edit_distance_and_index(most):
     assert all((i, j) in met for i in range(n) for j in range(i + 1, n) if truth[i, j])
 
 
-def plain_duplicates(texts, most, least):
+def plain_duplicates(docs, most, least):
+    """docs: (doc_id, text). Per document, as told apart by both: {line: (first doc_id, first line)}."""
+    docs = sorted({d for d in docs if d[1]}, key=lambda d: (d[0] is None, d[0] or 0, signed(xxhash.xxh64_intdigest(d[1].encode(), 42))))
     first, places = {}, []
-    for d, t in enumerate(texts):
-        for p, x in enumerate((t or "").split("\n")):
-            if len(x) >= least and x.strip(" \t\n\v\f\r"):
-                places.append((d, p, x))
-                first.setdefault(x, (d, p))
+    for k, (_, t) in enumerate(docs):
+        for p, x in enumerate(t.split("\n")):
+            if x.strip(" \t\n\v\f\r"):
+                places.append((k, p, x))
+                first.setdefault(x, (k, p))
     distinct = list(first)
-    of = classes(len(distinct), [(i, j) for i in range(len(distinct)) for j in range(i) if abs(len(distinct[i]) - len(distinct[j])) <= most and edits(distinct[i], distinct[j]) <= most])
+    near = [(i, j) for i in range(len(distinct)) for j in range(i) if min(len(distinct[i]), len(distinct[j])) >= least and abs(len(distinct[i]) - len(distinct[j])) <= most and edits(distinct[i], distinct[j]) <= most]
+    of = classes(len(distinct), near)
     origin = {}
     for k, x in zip(of, distinct, strict=True):
         origin[k] = min(origin.get(k, first[x]), first[x])
     number = {x: k for x, k in zip(distinct, of, strict=True)}
-    return sorted((d, p, *origin[number[x]]) for d, p, x in places if origin[number[x]] != (d, p))
+    out = {d: {} for d in docs}
+    for k, p, x in places:
+        if (o := origin[number[x]]) != (k, p):
+            out[docs[k]][p] = (docs[o[0]][0], o[1])
+    return out
+
+
+def signed(x):
+    return x - (x >> 63 << 64)
+
+
+def check_lines(spark, docs, ids, most=2, least=16, table=None):
+    expected = plain_duplicates([*zip(ids, docs, strict=True)], most, least)
+    table = documents(spark, docs, ids) if table is None else table
+    rows = lines.line_report(table.repartition(3), most, least).collect()
+    got = sorted((repr(r.doc_id), r.n_lines, r.n_duplicates, [tuple(x) for x in r.duplicates]) for r in rows)
+    want = [(i, t, expected.get((i, t), {})) for i, t in zip(ids, docs, strict=True)]
+    assert got == sorted((repr(i), len(t.split("\n")) if t else 0, len(e), [(p, *e[p]) for p in sorted(e)]) for i, t, e in want)
+    out = lines.drop_lines(table.repartition(3), most, least).collect()
+    kept = [(i, t if not e else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in e)) for i, t, e in want]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out))) == sorted(map(repr, kept))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+    return expected
 
 
 @pytest.mark.parametrize("block", [3, 1024])
@@ -92,9 +117,18 @@ def test_duplicate_lines(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "CHUNK", 400)
     pool = near_lines(9, 40)
     r = random.Random(1)
-    texts = ["\n".join(r.choice([*pool, "", " "]) for _ in range(r.randint(0, 6))) for _ in range(40)] + [None]
-    found = lines.duplicate_lines(documents(spark, texts).repartition(3), 2, 5).collect()
-    assert sorted((x.doc_id, x.pos, x.first_doc_id, x.first_pos) for x in found) == plain_duplicates(texts, 2, 5)
+    texts = ["\n".join(r.choice([*pool, "", " "]) for _ in range(r.randint(0, 6))) for _ in range(40)] + [None, ""]
+    ids = [*range(30), *(r.choice([3, 4, None]) for _ in range(len(texts) - 30))]  # ids that several texts have, and none
+    found = check_lines(spark, [*texts, *texts[:3]], [*ids, *ids[:3]], 2, 5)
+    assert sum(map(len, found.values())) > 40
+
+
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    shared = "a line of boilerplate that stands in many documents"
+    alone = "this line stands only in this very document, nowhere else"
+    texts = [f"{shared}\nend", f"x\n{shared}", f"{alone}\n{shared}", f"{shared}\n{alone[:-1]}?\nend", None]
+    found = check_lines(spark, texts, [1, 7, 7, None, None])
+    assert sum(map(len, found.values())) == 5
 
 
 def test_large_group_is_blocked_without_loss():
@@ -111,36 +145,13 @@ def test_large_group_is_blocked_without_loss():
     assert all((a, b) in pairs for a in members.tolist() for b in members.tolist())
 
 
-def test_lines_dropped_and_kept(spark):
+def test_lines_dropped(spark):
     shared = "a line of boilerplate that stands in many documents"
     nearly = shared.replace("many", "mony")
-    texts = [f"{prose(1, 30)}\n{shared}", f"{prose(2, 30)}\n{nearly}\nend", f"{prose(1, 30)}\n{shared}"]
-    rows = {r.doc_id: r for r in lines.line_report(documents(spark, texts)).collect()}
-    assert [rows[k].n_dropped for k in range(3)] == [0, 1, 0]  # the last one is a copy as a whole
-    assert rows[2].n_duplicates == 2 and rows[1].dropped == [1]
-    assert lines.line_report(documents(spark, ["\n".join([shared] * 9)])).first().n_dropped == 8
-    out = {r.doc_id: r for r in lines.drop_lines(documents(spark, texts)).collect()}
-    assert out[1].text == f"{prose(2, 30)}\nend" and out[1].n_chars == len(out[1].text) and out[2].text == texts[2]
-
-
-def test_short_lines_are_counted(spark):
-    texts = [f"Read more\n{prose(1, 20)}", f"{prose(2, 20)}\nRead more\n \nRead mare", "Read more\nこれは同じ文です。\nこれは同じ文です。\n"]
-    rows = {r.doc_id: r for r in lines.line_report(documents(spark, texts)).collect()}
-    assert [[tuple(x) for x in rows[k].duplicates] for k in range(3)] == [[], [(1, 0, 0)], [(0, 0, 0), (2, 2, 1)]]
-    assert [rows[k].n_duplicates for k in range(3)] == [0, 1, 2] and not any(r.n_dropped for r in rows.values())
-
-
-def test_only_copies_of_one_document_keep_their_lines(spark):
-    licence = "this page may be copied by whoever names its author and this licence"
-    parts = [prose(k, 12) for k in range(20, 28)]
-    texts = [f"{prose(10, 40)}\n{licence}", f"short page of its own\n{licence}", "\n".join(parts[:4]), "\n".join(parts[4:]), "\n".join(parts[2:6])]
-    texts += ["\n".join([*parts[:4], parts[1]]), "\n".join(parts[:2]), "\n".join([parts[7], parts[7]])]
-    rows = {r.doc_id: r for r in lines.line_report(documents(spark, texts)).collect()}
-    assert rows[1].dropped == [1]  # the licence is most of it
-    assert rows[4].dropped == [0, 1, 2, 3]  # passages of two documents
-    assert rows[5].n_duplicates == 5 and rows[5].dropped == [4]  # a copy with a repeat
-    assert rows[6].dropped == [0, 1] and rows[7].dropped == [0, 1]  # parts of one document
-    assert [rows[k].n_dropped for k in (0, 2, 3)] == [0, 0, 0]
+    texts = [f"{prose(1, 30)}\n{shared}", f"{prose(2, 30)}\n{nearly}\nend", f"{prose(1, 30)}\n{shared}", "\n".join([shared] * 9), "Read more\nこれは同じ文です。\nこれは同じ文です。\nRead more\nRead mare\n \n "]
+    check_lines(spark, texts, range(5))
+    rows = {r.doc_id: r for r in lines.drop_lines(documents(spark, texts)).collect()}
+    assert [rows[k].text for k in range(5)] == [texts[0], f"{prose(2, 30)}\nend", "", "", "Read more\nこれは同じ文です。\nRead mare\n \n "]
 
 
 def plain_passages(texts, least):
