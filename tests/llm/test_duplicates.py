@@ -178,9 +178,11 @@ def plain_passages(texts, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("least", "run"), [(10, 4), (12, 12), (50, 16)])
-def test_passages(spark, monkeypatch, least, run):
+@pytest.mark.parametrize(("least", "run", "bits"), [(10, 4, 64), (12, 12, 8), (50, 16, 64), (10, 4, 3)])
+def test_passages(spark, monkeypatch, least, run, bits):
     monkeypatch.setattr(suffixes, "FLUSH", 400)
+    monkeypatch.setattr(suffixes, "SLICE", 50)
+    monkeypatch.setattr(suffixes, "PRINT", np.uint64((1 << bits) - 1))  # prints of a few bits collide: words must be compared
     r = random.Random(least)
     shared = [prose(100 + k, r.randint(least, 3 * least)) for k in range(4)]
     texts = [" ".join(x for k in range(3) for x in (prose(1000 * i + k, r.randint(0, 40)), r.choice(shared) if r.random() < 0.6 else "")) for i in range(30)]
@@ -190,6 +192,25 @@ def test_passages(spark, monkeypatch, least, run):
     assert all(x.n_words == x.end_word - x.start_word >= least for x in got)
 
 
+def test_passages_of_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 10)
+    a, b, c = (prose(k, 60) for k in (31, 32, 33))
+    texts = [f"{a} {prose(41, 40)}", f"{prose(42, 30)} {b}", a, b, f"{prose(43, 9)} {c}", f"{c} {prose(44, 9)}", prose(45, 99), prose(45, 99)]
+    ids = [7, 7, 1, 2, None, None, 3, 3]
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.start_word, x.end_word, x.with_doc_id) for x in suffixes.repeated_passages(documents(spark, texts, ids).repartition(3)).collect())
+    assert got == [(-1, 0, 60, None), (-1, 9, 69, None), (1, 0, 60, 7), (2, 0, 60, 7), (3, 0, 99, 3), (7, 0, 60, 1), (7, 30, 90, 2)]
+
+
+def test_windows_by_rank():
+    rng = np.random.default_rng(5)
+    for least in (3, 8, 13):
+        ids = rng.integers(0, 2, 400)
+        starts = np.arange(400 - least + 1)
+        ranks = suffixes.window_ranks(ids, starts, least)
+        windows = [tuple(ids[s : s + least].tolist()) for s in starts]
+        assert len({*ranks.tolist()}) == len({*windows}) == len({*zip(ranks.tolist(), windows, strict=True)})
+
+
 def plain_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate(dict.fromkeys(range(9, 14), " ")).split(" ")
     words = [w for w in words if w]
@@ -211,9 +232,10 @@ def test_position_sets():
         assert len(sets) == n and all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
 
 
-@pytest.mark.parametrize("key_bytes", [3, 4])
-def test_links(spark, monkeypatch, key_bytes):
+@pytest.mark.parametrize(("key_bytes", "block"), [(3, 1 << 15), (3, 7), (4, 1 << 15)])
+def test_links(spark, monkeypatch, key_bytes, block):
     monkeypatch.setattr(simhash, "LONG_LIST", 6)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     for _ in range(3):  # chains of near ones, and a dense group
@@ -238,6 +260,25 @@ def test_near_duplicates(spark):
     assert [rows[k].component_id for k in range(8)] == classes(8, [(i, j) for i in range(8) for j in range(8) if (prints[i] ^ prints[j]).bit_count() <= 4])
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = prose(1, 400), prose(2, 400)
+    near = a.split()
+    near[200] = "changed"
+    rows = [(None, a, 1), (7, " ".join(near), 2), (7, b, 3), (5, b, 4), (5, b, 4), (5, b, 5), (None, None, 6), (None, "", 7), (9, "alone in the table by itself", 8), (None, "x y z", 9), (None, "x y z", 10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, kept_id int").repartition(3)
+    got = sorted(map(repr, map(tuple, simhash.one_of_each(table).collect())))
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    of = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    groups = defaultdict(list)
+    for k, r in zip(of, rows, strict=True):
+        groups[k].append(r)
+    assert len(got) == len(groups) == 5 and len({*got}) == 5
+    for g in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in g)
+        assert sum(repr(r) in got for r in {*g}) == 1 and any(repr(r) in got for r in g if (r[0] is None, r[0] or 0) == least)
+    assert sorted(map(repr, map(tuple, simhash.one_of_each(table.repartition(1)).collect()))) == got
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 560)]
