@@ -1,111 +1,94 @@
 """Quality rules with n-gram perplexity.
 
-A modified Kneser-Ney model of character classes, of order 4, is counted by Spark over all documents, language by language.
-A character has one of 64 classes, so an n-gram packs into 24 bits, a language's model has at most 64**4 entries (some
-ten thousands in practice) whatever the corpus, and may be broadcast. Models are sorted hash arrays: n-grams' packed
-hashes in order beside their log-probabilities, found by binary search; lower orders are dense. A document is rejected
-by its language's lower and upper perplexity bands, which follow from the median and spread over all its documents. As
-clean documents may quote other languages, one that its language's model rejects stays if the model of all
-languages together finds it within that language's bands for that model.
+A modified Kneser-Ney model of the characters of order 5 is counted by Spark over all documents, for each language and for all
+languages together. What it keeps grows with the corpus: counts are rows, estimated by joins and aggregations, and the
+probabilities are stored as sorted hash arrays, shard by shard, so that a worker holds one shard at a time. A language's
+model backs off to the model of all languages, so that quotations and rare languages are judged by that one. A document is
+scored as if it weren't in the corpus: n-grams that it alone has count as unseen. It is rejected by its language's
+lower and upper perplexity bands, which follow from the median and spread over all the language's documents.
 """
 
 from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import batch_of, bounded, column, exchange, mix64, pack_by_bucket, partitions, payloads, table, written
+from .common import batch_of, bounded, column, mix64, spare, table, written
 
-ORDER = 4
-BITS = 6
-CLASSES = 1 << BITS
+ORDER = 5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
+#: An n-gram is known if so many documents have it.
+LEAST_DOCUMENTS = 2
 #: Robust standard deviations from a language's median log-perplexity to its bands.
 BAND_WIDTH = 7.0
 #: No band is nearer to the median than this.
 LEAST_BAND = 1.0
-#: A language with fewer documents has no model and bands of its own, but the pooled model and bands drawn to its.
-LEAST_DOCUMENTS = 50
-#: For such a language, the median of all documents counts like that of so many of its own.
+#: A language's median and spread are drawn to those of all documents, which count like so many of its own.
 SHRINKAGE = 5
-#: The model of all languages; no language has this key.
-POOLED = -1
-#: The key that text of languages without a model is counted under.
-REST = 0
 #: Log-perplexities are counted in steps of this size for medians.
 STEP = 1 / 128
 #: Characters of a batch that are coded at once.
 FLUSH = 1 << 21
+#: Entries of a shard of the model (12 bytes each): what is broadcast at once. Each further shard is a further pass.
+SHARD_ENTRIES = 1 << 22
+#: The key of the model of all languages; a language's key is "=" and the language, or "" for null.
+POOLED = "*"
+#: Bands are broadcast up to so many languages.
+MANY_LANGUAGES = 10_000
+FACTORS = mix64(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def class_table() -> np.ndarray:
-    """Classes of the code points below 2**16. 0 pads, 1-26 letters in either case, 27 space, 28 digits, 29 line ends,
-    30-39 marks, 40-63 whatever else, by a hash of the lower-case letter."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        low = chr(c).lower()
-        if len(low) == 1 and "a" <= low <= "z":
-            out[c] = ord(low) - 96
-        elif c < 128:
-            out[c] = 27 if chr(c) in " \t" else 29 if chr(c) in BLANKS else 28 if low.isdigit() else 30 + c % 10
-        else:
-            out[c] = 40 + (ord(low[0]) * 2654435761 >> 7) % 24
-    return out
+@functools.cache
+def letters_and_digits() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
-TABLE = class_table()
-ALNUM = np.array([1 <= c <= 26 or c == 28 or c >= 40 for c in range(CLASSES)])
-#: By a 4-gram's last two classes: whether a run of letters and digits starts at its last one.
-RUN_STARTS = (ALNUM[None, :] & ~ALNUM[:, None]).ravel()
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, in lower case with digits as 0, each text padded at its start; where their n-grams end
+    in them, text after text, and where each text starts among those. No text may be empty."""
+    pad = "\0" * (ORDER - 1)
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer(pad.join(["", *low]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    raw[(raw >= 48) & (raw <= 57)] = 48
+    lengths = np.fromiter(map(len, low), np.int64, len(low))
+    starts = np.cumsum(lengths) - lengths
+    at = np.arange(lengths.sum()) + np.repeat((np.arange(len(low)) + 1) * (ORDER - 1), lengths)
+    return raw, at, starts
 
 
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of the texts, each text padded at its start, and where each text starts. No text may be empty."""
-    pad = "\0" * (ORDER - 1)
-    raw = np.frombuffer(pad.join(["", *texts]).encode("utf-32-le", "surrogatepass"), "<u4")
-    classes = np.where(raw < 1 << 16, TABLE[raw & 0xFFFF], 40 + raw % 24).astype(np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths + ORDER - 1)
-    starts = ends - lengths
-    classes[(starts[:, None] - np.arange(1, ORDER)).ravel()] = 0
-    codes = classes[3:] | classes[2:-1] << 6 | classes[1:-2] << 12 | classes[:-3] << 18
-    keep = np.ones(len(classes), bool)
-    keep[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
-    return codes[keep[3:]], np.concatenate([[0], np.cumsum(lengths)[:-1]])
-
-
-def run_lengths(x: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and their counts, or the sums of their weights."""
-    if weights is None:
-        x = np.sort(x)
-        starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        return x[starts], np.diff(np.concatenate([starts, [len(x)]]))
-    order = np.argsort(x, kind="stable")
-    x, weights = x[order], weights[order]
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return x[starts], np.add.reduceat(weights, starts)
-
-
-@functools.lru_cache(maxsize=4096)
-def language_key(lang: str | None) -> int:
-    return xxhash.xxh64_intdigest((lang or "").encode("utf-8"))
-
-
-def by_language(langs: list[str | None], texts: list[str | None], known: Container[int] | None = None) -> dict[int, list[int]]:
-    """Rows that have text, by language; if known languages are given, all others together are REST."""
-    found: dict[int, list[int]] = {}
-    for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+def coded(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end at these places."""
+    wide = raw.astype(np.uint64)
+    sums = wide[: len(wide) - ORDER + 1] * FACTORS[0]
+    for k in range(1, ORDER):
+        sums += wide[k : len(wide) - ORDER + 1 + k] * FACTORS[k]
+    return mix64(sums[at - ORDER + 1])
+
+
+def hashes_of(grams: list[str]) -> np.ndarray:
+    raw = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4")
+    return coded(raw, np.arange(ORDER - 1, len(raw), ORDER))
+
+
+def language_keys(lang: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
+
+
+def by_language(keys: list[str], texts: list[str | None]) -> dict[str, list[int]]:
+    """Rows that have text, by language."""
+    found: dict[str, list[int]] = {}
+    for i, (key, text) in enumerate(zip(keys, texts, strict=True)):
         if text:
-            key = language_key(lang)
-            found.setdefault(key if known is None or key in known else REST, []).append(i)
+            found.setdefault(key, []).append(i)
     return found
 
 
@@ -121,101 +104,215 @@ def cuts(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
         yield held
 
 
-RECORD = np.dtype([("lang", "<u8"), ("code", "<u4"), ("n", "<u8")])
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # hashes in order, occurrences, documents, characters
+
+
+def counted(texts: list[str]) -> Counts:
+    raw, at, starts = code_points(texts)
+    doc = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.concatenate([starts, [len(at)]])))
+    alphabet = np.flatnonzero(np.bincount(raw))
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    docs = max(1, int(len(starts) - 1).bit_length())
+    if ORDER * bits + docs <= 64:  # n-gram and document in one number, which sorts fastest
+        number = np.zeros(int(alphabet[-1]) + 1, np.uint64)
+        number[alphabet] = np.arange(len(alphabet))
+        wide = number[raw]
+        packed = wide[: len(wide) - ORDER + 1].copy()
+        for k in range(1, ORDER):
+            packed = packed << np.uint64(bits) | wide[k : len(wide) - ORDER + 1 + k]
+        packed = np.sort(packed[at - ORDER + 1] << np.uint64(docs) | doc)
+        grams = packed >> np.uint64(docs)
+        other = np.concatenate([[True], packed[1:] != packed[:-1]])
+        begins = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        found = grams[begins, None] >> (np.uint64(bits) * np.arange(ORDER - 1, -1, -1, dtype=np.uint64)) & np.uint64((1 << bits) - 1)
+        characters = alphabet[found.astype(np.int64)].astype("<u4")
+        codes = coded(characters.ravel(), np.arange(ORDER - 1, characters.size, ORDER))
+    else:
+        hashes = coded(raw, at)
+        order = np.argsort(hashes, kind="stable")
+        ordered, doc = hashes[order], doc[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        other = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+        begins = np.flatnonzero(new)
+        characters, codes = raw[at[order[begins], None] + np.arange(1 - ORDER, 1)], ordered[begins]
+    n = np.diff(np.concatenate([begins, [len(at)]]))
+    df = np.add.reduceat(other.astype(np.int64), begins)
+    order = np.argsort(codes)
+    return codes[order], n[order], df[order], characters[order]
+
+
+def added(a: Counts, b: Counts) -> Counts:
+    codes = np.concatenate([a[0], b[0]])
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    n, df = (np.add.reduceat(np.concatenate([a[k], b[k]])[order], begins) for k in (1, 2))
+    return codes[begins], n, df, np.concatenate([a[3], b[3]])[order[begins]]
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """docs(lang_key, text): (lang_key, gram, n, df) for every n-gram of every language and of all: occurrences, and documents with it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counts] = {}
+        for b in batches:
+            texts = column(b, "text")
+            for key, rows in by_language(column(b, "lang_key"), texts).items():
+                for some in cuts(rows, texts):
+                    new = counted([texts[i] for i in some])
+                    sums[key] = added(sums[key], new) if key in sums else new
+        for key, (_, n, df, raw) in sums.items():
+            for i in range(0, len(n), 1 << 16):
+                part = raw[i : i + (1 << 16)]
+                text = part.tobytes().decode("utf-32-le", "surrogatepass")
+                grams = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+                yield batch_of(["lang_key", "gram", "n", "df"], [[key] * len(grams), grams, n[i : i + (1 << 16)], df[i : i + (1 << 16)]], [pa.string(), pa.string(), pa.int64(), pa.int64()])
 
+    own = docs.select("lang_key", "text").mapInArrow(count, "lang_key string, gram string, n long, df long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    own = written(own, "ngrams")
+    return own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).withColumn("lang_key", F.lit(POOLED)))
 
-def frequent_languages(docs: DataFrame, least: int) -> frozenset[int]:
-    """Keys of the languages with at least so many documents: the others have no model of their own, so that models are few."""
-    counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return frozenset(language_key(r.lang) for r in counted.select("lang").collect())
 
+def suffix(gram: str, k: int, of: int) -> Column:
+    """The last k of an n-gram's `of` characters."""
+    return F.substring(gram, of - k + 1, k)
 
-def count_ngrams(docs: DataFrame, known: Container[int] | None = None) -> DataFrame:
-    """docs(text, lang) to rows (payload): packed RECORDs, each n-gram of each language once, over all documents; languages that aren't known are one."""
-    buckets = partitions(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def levels(grams: DataFrame) -> DataFrame:
+    """grams(lang_key, gram, n, df): (lang_key, k, s, c, seen) for the last k characters s of all n-grams, k from 1 to ORDER.
+
+    c counts occurrences at the highest order and, below, by how many different characters known n-grams are preceded. An n-gram that
+    fewer than LEAST_DOCUMENTS documents have counts as unseen, though its occurrences stay in its context's sum.
+    """
+    top = grams.select("lang_key", F.lit(ORDER).alias("k"), F.col("gram").alias("s"), F.col("n").alias("c"), (F.col("df") >= LEAST_DOCUMENTS).alias("seen"))
+    longer = F.inline(F.array(*(F.struct(F.lit(k).alias("k"), suffix("s", k + 1, ORDER).alias("longer")) for k in range(1, ORDER))))
+    distinct = top.select("lang_key", "seen", longer).groupBy("lang_key", "k", "longer").agg(F.max("seen").alias("seen"))
+    below = distinct.groupBy("lang_key", "k", F.substr("longer", F.lit(2)).alias("s")).agg(F.count_if("seen").alias("c"))
+    return top.unionByName(below.withColumn("seen", F.col("c") > 0))
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """By language and k: d1, d2, d3, from how many n-grams have which count, after Chen and Goodman."""
+    found = counts.where("c > 0").groupBy("lang_key", "k").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    d = [F.when(F.col(f"n{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(k - 0.05))).otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)]
+    return found.select("lang_key", "k", *d)
+
+
+def estimated(grams: DataFrame) -> DataFrame:
+    """(lang_key, gram, known, left) for every n-gram, of interpolated modified Kneser-Ney: its probability in the language is
+    known + left * (its probability below all orders)."""
+    every = written(levels(grams), "kn-levels")
+    taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rates = discounts(every)
+    every = every.join(F.broadcast(rates) if rates.count() <= ORDER * MANY_LANGUAGES else rates, ["lang_key", "k"], "left").withColumn("rest", F.when(F.col("seen"), F.col("c") - taken).otherwise(0.0))
+    # a context is followed by no more n-grams than there are characters
+    context = W.partitionBy("lang_key", "k", F.substr("s", F.lit(1), F.col("k") - 1))
+    total, given = F.sum("c").over(context), F.sum("rest").over(context)
+    every = every.select("lang_key", "k", "s", *(F.when(total > 0, x).otherwise(y).alias(name) for x, y, name in ((F.col("rest") / total, 0.0, "direct"), (1 - given / total, 1.0, "gamma"))))
+    every = written(every, "kn-rates")
+    out = every.where(F.col("k") == ORDER).select("lang_key", F.col("s").alias("gram"), F.col("direct").alias("known"), F.col("gamma").alias("left"))
+    for k in range(ORDER - 1, 0, -1):
+        lower = every.where(F.col("k") == k).select("lang_key", F.col("s").alias("shorter"), "direct", "gamma")
+        joined = out.withColumn("shorter", suffix("gram", k, ORDER)).join(lower, ["lang_key", "shorter"])
+        out = joined.select("lang_key", "gram", (F.col("known") + F.col("left") * F.col("direct")).alias("known"), (F.col("left") * F.col("gamma")).alias("left"))
+    return written(out, "kn-backed")
+
+
+def log_probabilities(grams: DataFrame) -> DataFrame:
+    """(lang_key, gram, logp): each language's model, with the model of all languages below it, and all characters alike below that one."""
+    found = estimated(grams)
+    own, pooled = found.where(F.col("lang_key") != POOLED), found.where(F.col("lang_key") == POOLED)
+    characters = grams.where(F.col("lang_key") == POOLED).select(suffix("gram", 1, ORDER)).distinct().count() + 1
+    base = pooled.select("gram", (F.col("known") + F.col("left") / characters).alias("base"))
+    return own.join(base, "gram").select("lang_key", "gram", F.log(F.col("known") + F.col("left") * F.col("base")).alias("logp"))
+
+
+Arrays = dict[str, tuple[np.ndarray, np.ndarray]]  # by lang_key: hashes in order, log-probabilities
+
+
+class Lookup:
+    """A sorted hash array with a directory of the hashes' upper bits: from there a hash is a step or two away."""
+
+    def __init__(self, hashes: np.ndarray, logps: np.ndarray):
+        self.bits = np.uint64(64 - min(26, 2 + int(len(hashes)).bit_length()))
+        self.first = np.searchsorted(hashes, np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits)
+        self.hashes, self.logps = np.append(hashes, np.uint64(0)), logps
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = self.first[(asked >> self.bits).astype(np.int64)]
+        wrong = np.flatnonzero(self.hashes[at] != asked)
+        while len(wrong):
+            at[wrong] += 1
+            if (self.hashes[at[wrong]] > asked[wrong]).any() or (at[wrong] >= len(self.logps)).any():
+                raise RuntimeError("a text has n-grams that weren't counted: the table has changed")
+            wrong = wrong[self.hashes[at[wrong]] != asked[wrong]]
+        return self.logps[at]
+
+
+SHARDS = "shard int, lang_key string, hashes binary, logps binary"
+
+
+def sorted_arrays(model: DataFrame, shards: int) -> DataFrame:
+    """model(lang_key, gram, logp) as rows of sorted hash arrays, one or more for each shard and language."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = column(b, "text")
-            for lang, rows in by_language(column(b, "lang"), texts, known).items():
-                for some in cuts(rows, texts):
-                    codes, n = run_lengths(coded([texts[i] for i in some])[0])
-                    if lang in sums:
-                        codes, n = run_lengths(np.concatenate([sums[lang][0], codes]), np.concatenate([sums[lang][1], n]))
-                    sums[lang] = codes, n
-        if sums:
-            records = np.concatenate([as_records(lang, codes, n) for lang, (codes, n) in sums.items()])
-            yield pack_by_bucket(records, (mix64(records["code"] ^ records["lang"]) % np.uint64(buckets)).astype(np.int64), buckets)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.empty(0, RECORD)
-        for b in batches:  # never more than one batch beside the sums
-            sums = merged(np.concatenate([sums, payloads(iter([b]), RECORD)]))
-        if len(sums):
-            yield batch_of(["payload"], [[sums.tobytes()]], [pa.binary()])
-
-    return exchange(docs.select("text", "lang").mapInArrow(count, "bucket int, payload binary"), buckets).mapInArrow(add, "payload binary")
-
-
-def as_records(lang: int, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.empty(len(codes), RECORD)
-    out["lang"], out["code"], out["n"] = lang, codes, n
+            if b.num_rows:
+                h = hashes_of(column(b, "gram"))
+                logp = b.column(b.schema.get_field_index("logp"))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards)), b.column(b.schema.get_field_index("lang_key")), pa.array(h.view(np.int64)), logp], names=["shard", "lang_key", "hash", "logp"])
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            shard, keys = (np.array(column(b, c)) for c in ("shard", "lang_key"))
+            h, logp = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("hash", "logp"))
+            for s in np.unique(shard):
+                for key in np.unique(keys[shard == s]):
+                    own = (shard == s) & (keys == key)
+                    parts.setdefault((int(s), str(key)), []).append((h[own], logp[own]))
+        for (s, key), own in parts.items():
+            h, logp = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+            h = h.view(np.uint64)
+            order = np.argsort(h)
+            yield batch_of(["shard", "lang_key", "hashes", "logps"], [[s], [key], [h[order].tobytes()], [logp[order].astype("<f4").tobytes()]], [pa.int32(), pa.string(), pa.binary(), pa.binary()])
+
+    rows = model.mapInArrow(hashed, "shard int, lang_key string, hash long, logp double")
+    return written(rows.repartition("shard", "lang_key").mapInArrow(stored, SHARDS), "kn-arrays")
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def read_shard(arrays: DataFrame, shard: int) -> Arrays:
+    """A shard's arrays, at most about SHARD_ENTRIES entries in all."""
+    out: Arrays = {}
+    for r in arrays.where(F.col("shard") == shard).collect():
+        h, logp = np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.logps, "<f4")
+        if r.lang_key in out:
+            h, logp = np.concatenate([out[r.lang_key][0], h]), np.concatenate([out[r.lang_key][1], logp])
+            order = np.argsort(h)
+            h, logp = h[order], logp[order]
+        out[r.lang_key] = h, logp
     return out
 
 
-def merged(records: np.ndarray) -> np.ndarray:
-    out = []
-    for lang in np.unique(records["lang"]):
-        own = records[records["lang"] == lang]
-        out.append(as_records(lang, *run_lengths(own["code"], own["n"])))
-    return np.concatenate(out) if out else records
-
-
-class Model:
-    """Modified Kneser-Ney over packed 4-grams, interpolated; log-probabilities in nats."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        self.keys = codes[order].astype(np.uint32)
-        table = [(self.keys.astype(np.int64), counts[order].astype(np.float64))]
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: by how many different symbols an n-gram is preceded
-            seen, kinds = run_lengths(table[-1][0] & ((1 << BITS * n) - 1))
-            table.append((seen, kinds.astype(np.float64)))
-        lower = np.full(CLASSES, 1 / CLASSES)  # below unigrams: all classes alike
-        for n in range(1, ORDER):
-            dense = np.tile(lower, CLASSES ** (n - 1) * CLASSES // len(lower))
-            keys, k = table[ORDER - n]
-            direct, gamma = self.discounted(keys, k, n)
-            dense *= np.repeat(gamma, CLASSES)
-            dense[keys] += direct
-            lower = dense
-        direct, gamma = self.discounted(*table[0], ORDER)
-        self.logp = np.log(direct + gamma[self.keys >> BITS] * lower[self.keys & ((1 << BITS * (ORDER - 1)) - 1)]).astype(np.float32)
-        self.log_gamma, self.log_lower = np.log(gamma).astype(np.float32), np.log(lower).astype(np.float32)
-
-    @staticmethod
-    def discounted(keys: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted relative frequencies of the n-grams, and what each context leaves to the next lower order."""
-        n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [0.0, *(min(max(k - (k + 1) * y * b / a, 0.1), k - 0.05) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        taken = np.array(d)[np.minimum(counts, 3).astype(np.int64)]
-        context = keys >> BITS
-        size = CLASSES ** (n - 1)
-        total = np.bincount(context, counts, minlength=size)
-        left = np.bincount(context, taken, minlength=size)
-        gamma = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-        return (counts - taken) / total[context], gamma
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        out = self.logp[at]
-        miss = np.flatnonzero(self.keys[at] != codes)
-        if len(miss):
-            c = codes[miss]
-            out[miss] = self.log_gamma[c >> BITS] + self.log_lower[c & ((1 << BITS * (ORDER - 1)) - 1)]
-        return out
+def sums_of(texts: list[str], lookup: Lookup | None, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the sum of the log-probabilities that this shard has, and its runs of letters and digits."""
+    raw, at, starts = code_points(texts)
+    alnum = letters_and_digits()[raw]
+    begun = alnum.copy()
+    begun[1:] &= ~alnum[:-1]
+    codes = coded(raw, at)
+    here = slice(None) if shards == 1 else shard_of(codes, shards) == shard
+    logp = np.zeros(len(codes))
+    if len(asked := codes[here]):
+        if lookup is None:
+            raise RuntimeError("a text has n-grams that weren't counted: the table has changed")
+        logp[here] = lookup(asked)
+    return np.add.reduceat(logp, starts), np.add.reduceat(begun[at], starts, dtype=np.int64)
 
 
 def base_features(text: str | None) -> tuple[int, int, int, int, int]:
@@ -241,105 +338,115 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, lang_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, pooled double"
 
 
-def scored(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
-    """docs(doc_id, text, lang): base features, and, by the language's model and the POOLED one, the negative log-probability of the text for each run of letters and
-    digits in it, so that marks put onto words count against them (null for no text, the first also for languages without a model; without any run, the whole sum)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def scored(docs: DataFrame, text: str, key: str, names: dict[str, str], carried: list[str], arrays: Arrays, shard: int, shards: int) -> DataFrame:
+    """The carried columns of docs with base features and the sum of log-probabilities and the runs of letters and digits (null without text) as
+    further columns; names tells what they are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    out = [names[x] for x in (*FEATURES, "logp", "runs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        lookups: dict[str, Lookup] = {}
         for b in batches:
-            texts, langs = column(b, "text"), column(b, "lang")
-            out: list[float | None] = [None] * len(texts)
-            pooled: list[float | None] = [None] * len(texts)
-            for lang, rows in by_language(langs, texts, models).items():
+            texts = column(b, text)
+            logps: list[float | None] = [None] * len(texts)
+            runs: list[int | None] = [None] * len(texts)
+            for lang, rows in by_language(column(b, key), texts).items():
+                if lang not in lookups and lang in shared.value:
+                    lookups[lang] = Lookup(*shared.value[lang])
                 for some in cuts(rows, texts):
-                    codes, starts = coded([texts[i] for i in some])
-                    runs = np.maximum(np.add.reduceat(RUN_STARTS[codes & (CLASSES * CLASSES - 1)], starts, dtype=np.int64), 1)
-                    for key, scores in ((lang, out), (POOLED, pooled)) if lang != REST else ((POOLED, pooled),):
-                        sums = np.add.reduceat(models[key].score(codes), starts, dtype=np.float64)
-                        for i, s in zip(some, (-sums / runs).tolist(), strict=True):
-                            scores[i] = s
-            keys = np.array([language_key(x) for x in langs], np.uint64).view(np.int64)
-            features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, 5)
-            yield batch_of(["doc_id", "lang_key", *FEATURES, "log_perplexity", "pooled"], [column(b, "doc_id"), keys, *features.T, out, pooled], [pa.int64()] * 7 + [pa.float64()] * 2)
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
-    order = np.argsort(x)
-    x, n = x[order], np.cumsum(n[order])
-    return float(x[np.searchsorted(n, n[-1] / 2)])
-
-
-Steps = dict[int, tuple[np.ndarray, np.ndarray]]
-
-
-def score_steps(scores: DataFrame, name: str) -> Steps:
-    """By lang_key, the values of a score and how many documents have each. Medians come from counts by step: what the driver
-    gets is bounded by the range of scores."""
-    steps = scores.where(F.col(name).isNotNull() & ~F.col("base_failed")).groupBy("lang_key", F.round(F.col(name) / STEP).cast("long").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    return {int(k): (part.s.to_numpy() * STEP, part.n.to_numpy()) for k, part in steps.toPandas().astype("int64").groupby("lang_key")}
-
-
-def band_width(spread: float) -> float:
-    return max(LEAST_BAND, BAND_WIDTH * 1.4826 * spread)
-
-
-def bands(steps: Steps) -> dict[int, tuple[float, float]]:
-    """(low, high) by lang_key for a score, of languages with enough documents."""
-    found = {}
-    for lang, (x, n) in steps.items():
-        if n.sum() >= LEAST_DOCUMENTS:
-            middle = weighted_median(x, n)
-            width = band_width(weighted_median(np.abs(x - middle), n))
-            found[lang] = middle - width, middle + width
-    return found
-
-
-def all_bands(steps: Steps) -> dict[int, tuple[float, float]]:
-    """bands, and for every other language ones that are drawn to those of all documents: the median is its own and that of all,
-    weighted by its documents and SHRINKAGE, the spread is that of all documents around the medians of their languages."""
-    found = bands(steps)
-    if len(found) < len(steps):
-        n = np.concatenate([n for _, n in steps.values()])
-        middles = {lang: weighted_median(*own) for lang, own in steps.items()}
-        every = weighted_median(np.concatenate([x for x, _ in steps.values()]), n)
-        width = band_width(weighted_median(np.concatenate([np.abs(x - middles[lang]) for lang, (x, _) in steps.items()]), n))
-        for lang, (_, own) in steps.items():
-            if lang not in found:
-                middle = (own.sum() * middles[lang] + SHRINKAGE * every) / (own.sum() + SHRINKAGE)
-                found[lang] = float(middle - width), float(middle + width)
-    return found
-
+                    found = sums_of([texts[i] for i in some], lookups.get(lang), shard, shards)
+                    for i, p, r in zip(some, *(x.tolist() for x in found), strict=True):
+                        logps[i], runs[i] = p, r
+            features = np.array([base_features(t) for t in texts], np.int64).reshape(-1, 5) if shard == 0 else np.zeros((len(texts), 5), np.int64)
+            kept = [b.column(b.schema.get_field_index(c)) for c in carried]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x) for x in features.T), pa.array(logps, pa.float64()), pa.array(runs, pa.int64())], names=[*carried, *out])
+
+    schema = StructType([docs.schema[c] for c in carried])
+    for name in out:
+        schema = schema.add(name, "double" if name == names["logp"] else "long")
+    return docs.mapInArrow(run, schema)
+
+
+def all_scores(docs: DataFrame, names: dict[str, str], text: str, key: str, carried: list[str]) -> DataFrame:
+    """The carried columns of docs with features, log-probability and runs. Where the model has several shards, every one is a pass over the rows, and the
+    rows' sums are added up by row number."""
+    grams = count_ngrams(docs.select(F.col(key).alias("lang_key"), F.col(text).alias("text")))
+    model = written(log_probabilities(grams), "kn-model")
+    shards = max(1, -(-model.count() // SHARD_ENTRIES))
+    arrays = sorted_arrays(model, shards)
+    if shards == 1:
+        return written(scored(docs, text, key, names, carried, read_shard(arrays, 0), 0, 1), "quality")
+    row, more = spare(docs, "scored_row"), spare(docs, "scored_more")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "quality-rows")
+    out = written(scored(docs, text, key, names, [*carried, row], read_shard(arrays, 0), 0, shards), "quality")
+    sums = None
+    for k in range(1, shards):
+        part = written(scored(docs.select(row, text, key), text, key, names, [row], read_shard(arrays, k), k, shards).select(row, F.col(names["logp"]).alias(more)), "quality")
+        sums = part if sums is None else sums.unionByName(part)
+    total = F.col(names["logp"]) + F.col(more)
+    return out.join(sums.groupBy(row).agg(F.sum(more).alias(more)), row).withColumn(names["logp"], total).drop(row, more)
+
+
+def bands(scores: DataFrame) -> DataFrame:
+    """scores(lang_key, score), null scores aside: (lang_key, low, high), a row for each language.
+
+    The middle is the median, the width a multiple of the median deviation from it (at least LEAST_BAND), both drawn to those of all documents.
+    """
+    known = scores.where("score is not null").select("lang_key", (F.round(F.col("score") / STEP) * STEP).alias("x"))
+    median = written(known.groupBy("lang_key").agg(F.percentile("x", 0.5).alias("middle"), F.count(F.lit(1)).alias("n")), "bands")
+    off = known.join(F.broadcast(median) if median.count() <= MANY_LANGUAGES else median, "lang_key").select("lang_key", "x", F.abs(F.col("x") - F.col("middle")).alias("off"))
+    spread = off.groupBy("lang_key").agg(F.percentile("off", 0.5).alias("spread"))
+    every = off.agg(F.percentile("x", 0.5).alias("all_middle"), F.percentile("off", 0.5).alias("all_spread")).first()
+    if every.all_middle is None:
+        return median.select("lang_key", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    drawn = lambda c, to: (F.col("n") * F.col(c) + SHRINKAGE * to) / (F.col("n") + SHRINKAGE)
+    width = F.greatest(F.lit(LEAST_BAND), BAND_WIDTH * 1.4826 * drawn("spread", every.all_spread))
+    return written(median.join(spread, "lang_key").select("lang_key", (drawn("middle", every.all_middle) - width).alias("low"), (drawn("middle", every.all_middle) + width).alias("high")), "bands")
+
+
+VERDICT = ("base_failed", "kept", "log_perplexity", "band_low", "band_high")
+
+
+def judged(docs: DataFrame, text: str, lang: str, carried: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The carried columns of docs with FEATURES and VERDICT as further columns, and what these are called, as docs may have such names itself."""
+    names = {x: spare(docs, x) for x in (*FEATURES, *VERDICT, "logp", "runs")}
+    key = spare(docs, "lang_key")
+    scores = all_scores(bounded(docs).withColumn(key, language_keys(F.col(lang))), names, text, key, [*carried, key])
+    name = {x: F.col(c) for x, c in names.items()}
+    failed = (name["n_words"] < 50) | (100 * name["n_repeat_words"] > 50 * name["n_words"])
+    scores = scores.withColumn(names["base_failed"], failed).withColumn(names["log_perplexity"], -name["logp"] / F.greatest(name["runs"], F.lit(1)))
+    limits = bands(scores.where(~name["base_failed"]).select(F.col(key).alias("lang_key"), name["log_perplexity"].alias("score")))
+    limits = limits.toDF(spare(scores, "key_of_bands"), names["band_low"], names["band_high"])
+    joined = scores.join(F.broadcast(limits) if limits.count() <= MANY_LANGUAGES else limits, F.col(key) == F.col(limits.columns[0]), "left")
+    inside = F.coalesce(name["log_perplexity"].between(name["band_low"], name["band_high"]), F.lit(False))
+    return joined.withColumn(names["kept"], ~name["base_failed"] & inside), names
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Per row of docs(doc_id, text, lang): base features, base_failed, kept, log_perplexity (negative log-probability in nats for each run
+    of letters and digits, so that marks put onto words count against them) and its bands.
+
+    Null and empty texts have no words and so fail the base rules; a null lang is a language. Nothing depends on doc_id, and repeated
+    rows give repeated results.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows, _ = judged(docs, "text", "lang", ["doc_id"])
+    return rows.select("doc_id", *FEATURES, "base_failed", "kept", "log_perplexity", "band_low", "band_high")
 
-def quality(docs: DataFrame, label: str = "quality") -> DataFrame:
-    """Per row of docs(doc_id, text, lang): base features, base_failed, log_perplexity, its bands, kept.
 
-    Null and empty texts have no words and so fail the base rules. Languages with few documents, null among them, are
-    judged by the model of all languages: log_perplexity and the bands are that model's then. Repeated rows give repeated results.
-    """
-    spark = docs.sparkSession
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = count_ngrams(docs, frequent_languages(docs, LEAST_DOCUMENTS)).collect()
-    records = np.concatenate([np.empty(0, RECORD), *(np.frombuffer(r.payload, RECORD) for r in rows)])
-    models = {int(k): Model(*(records[records["lang"] == k][c] for c in ("code", "n"))) for k in np.unique(records["lang"]) if k != REST}
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    if len(records):
-        models[POOLED] = Model(*run_lengths(records["code"], records["n"]))
-    scores = written(scored(docs, models).withColumn("base_failed", failed), label)
-    own, pooled = bands(score_steps(scores, "log_perplexity")), all_bands(score_steps(scores, "pooled"))
-    limits = spark.createDataFrame([(k, *own.get(k, (None, None)), *pooled[k]) for k in pooled], "lang_key long, low double, high double, pooled_low double, pooled_high double")
-    without = F.col("low").isNull() & F.col("pooled_low").isNotNull()
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)) | F.coalesce(F.col("pooled").between(F.col("pooled_low"), F.col("pooled_high")), F.lit(False))
-    joined = scores.join(F.broadcast(limits), "lang_key", "left")
-    shown = [F.when(without, F.col(theirs)).otherwise(F.col(name)).alias(to) for name, theirs, to in (("log_perplexity", "pooled", "log_perplexity"), ("low", "pooled_low", "band_low"), ("high", "pooled_high", "band_high"))]
-    return joined.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), *shown)
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs(text, lang, ...) that `quality` keeps, each by its own text and lang; all columns stay."""
+    text, lang = spare(docs, "judged_text"), spare(docs, "judged_lang")
+    typed = docs
+    for to, of in ((text, "text"), (lang, "lang")):
+        typed = typed.withColumn(to, F.col(of).cast("string")) if docs.schema[of].dataType.simpleString() != "string" else typed
+    text, lang = (to if to in typed.columns else of for to, of in ((text, "text"), (lang, "lang")))
+    rows, names = judged(typed, text, lang, docs.columns)
+    return rows.where(F.col(names["kept"])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`quality` of documents: a row per row. Null and empty texts fail the base rules; an empty table gives no row."""
     return quality(table(spark, sf_dir, "documents"))

@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lattica.llm import langid, quality
 
-from .helpers import documents, prose
+from .helpers import WORDS, documents, prose
 
 GERMAN = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine seiner worden will zwischen".split()
 
@@ -37,102 +38,151 @@ def test_base_features():
         assert quality.base_features(t) == plain_features(t)
 
 
-def test_codes():
-    texts = ["ab", "B", "a 1\n", "日" * 3]
-    codes, starts = quality.coded(texts)
-    assert starts.tolist() == [0, 2, 3, 7] and len(codes) == 10
-    assert codes[:3].tolist() == [1, 1 << 6 | 2, 2]
-    assert codes[6] == 1 << 18 | 27 << 12 | 28 << 6 | 29
+def folded(text):
+    return "".join("0" if c in "0123456789" else c for c in text.lower())
 
 
-def plain_model(codes):
-    """Modified Kneser-Ney from dictionaries, after Chen and Goodman."""
-    tables = {4: Counter(tuple(c >> 6 * k & 63 for k in (3, 2, 1, 0)) for c in codes)}
-    for n in (3, 2, 1):
-        tables[n] = Counter(g[1:] for g in tables[n + 1])
+def grams_of(text):
+    t = "\0" * 4 + folded(text)
+    return [t[i : i + 5] for i in range(len(t) - 4)]
 
-    def discounts(table):
-        n1, n2, n3, n4 = (sum(c == k for c in table.values()) for k in (1, 2, 3, 4))
+
+def plain_table(texts):
+    """{gram: [occurrences, documents]}"""
+    out = {}
+    for t in texts:
+        own = Counter(grams_of(t))
+        for g, n in own.items():
+            x = out.setdefault(g, [0, 0])
+            x[0] += n
+            x[1] += 1
+    return out
+
+
+def plain_model(table, below):
+    """Modified Kneser-Ney from dictionaries, after Chen and Goodman; n-grams of a single document are unseen. `below` gives what stands below all orders."""
+    counts = {5: {g: n for g, (n, _) in table.items()}}
+    seen = {5: {g for g, (_, df) in table.items() if df >= 2}}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in seen[k + 1])
+        seen[k] = {*counts[k]}
+    ds = {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(x == i for x in c.values()) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        return [0] + [min(max(k - (k + 1) * y * b / a, 0.1), k - 0.05) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-
-    ds = {n: discounts(t) for n, t in tables.items()}
-    after = {n: defaultdict(list) for n in tables}
-    for n, t in tables.items():
-        for g, c in t.items():
-            after[n][g[:-1]].append(c)
-
-    def p(g):
-        n = len(g)
-        if not n:
-            return 1 / 64
-        follow = after[n].get(g[:-1])
-        if not follow:
-            return p(g[1:])
-        c, d = tables[n].get(g, 0), ds[n]
-        return (c - d[min(c, 3)]) / sum(follow) + sum(d[min(x, 3)] for x in follow) / sum(follow) * p(g[1:])
-
-    return lambda code: math.log(p(tuple(code >> 6 * k & 63 for k in (3, 2, 1, 0))))
-
-
-def test_model():
-    codes, _ = quality.coded([prose(k, 60) for k in range(4)])
-    keys, n = quality.run_lengths(codes)
-    model, plain = quality.Model(keys, n), plain_model(codes.tolist())
-    asked = np.concatenate([codes[:200], quality.coded(["zqxj the 123 ### é"])[0]])
-    assert np.allclose(model.score(asked), [plain(c) for c in asked.tolist()], atol=1e-4)
-    context = int(codes[100]) >> 6
-    assert abs(np.exp(model.score(np.array([context << 6 | c for c in range(64)], np.uint32))).sum() - 1) < 1e-4
-
-
-def test_counts_cover_all(spark):
-    docs = documents(spark, [prose(k, 50) for k in range(20)]).repartition(4)
-    rows = quality.count_ngrams(docs).collect()
-    records = np.concatenate([np.frombuffer(r.payload, quality.RECORD) for r in rows])
-    codes, n = quality.run_lengths(quality.coded([prose(k, 50) for k in range(20)])[0])
-    order = np.argsort(records["code"])
-    assert records["code"][order].tolist() == codes.tolist() and records["n"][order].tolist() == n.tolist()
-
-
-def test_bands_reject_junk_and_keep_prose(spark):
-    r = random.Random(1)
-    clean = [prose(k, 120 + k % 50) for k in range(150)]
-    junk = " ".join(w + r.choice(["&&&", "***", "%%%", "|"]) for w in prose(500, 90).split())
-    texts = [*clean, junk, prose(3, 10), None, ("word and word again " * 30).strip()]
-    rows = {x.doc_id: x for x in quality.quality(documents(spark, texts)).collect()}
-    assert all(rows[k].kept for k in range(150)) and not rows[150].kept and not rows[150].base_failed
-    assert [rows[k].base_failed for k in (151, 152, 153)] == [True] * 3
-    for k, t in enumerate(texts):
-        assert (rows[k].n_words, rows[k].word_chars, rows[k].n_symbols, rows[k].n_dup_lines, rows[k].n_repeat_words) == plain_features(t)
-
-
-def test_rare_languages_are_judged(spark):
+        ds[k] = [0] + [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    total, given = defaultdict(float), defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            if g in seen[k]:
+                given[g[:-1]] += n - ds[k][min(n, 3)]
+
+    def p(g, s):
+        if not s:
+            return below(g)
+        k, ctx = len(s), s[:-1]
+        if not total[ctx]:
+            return p(g, s[1:])
+        c = counts[k].get(s, 0)
+        direct = (c - ds[k][min(c, 3)]) / total[ctx] if s in seen[k] else 0
+        return direct + (1 - given[ctx] / total[ctx]) * p(g, s[1:])
+
+    return lambda g: p(g, g)
+
+
+def plain_quality(rows):
+    """rows: (text, lang). Per row: log_perplexity, band_low, band_high, kept."""
+    by = defaultdict(list)
+    for t, lang in rows:
+        if t:
+            by[lang].append(t)
+    every = plain_table([t for own in by.values() for t in own])
+    pooled = plain_model(every, lambda g: 1 / (len({x[-1] for x in every}) + 1))
+    models = {lang: plain_model(plain_table(own), pooled) for lang, own in by.items()}
+    known, score, features = {}, [], [plain_features(t) for t, _ in rows]
+    for t, lang in rows:
+        if not t:
+            score.append(None)
+            continue
+        low = folded(t)
+        runs = sum(c.isalnum() and not (i and low[i - 1].isalnum()) for i, c in enumerate(low))
+        for g in {*grams_of(t)} - {g for k, g in known if k == lang}:
+            known[lang, g] = math.log(models[lang](g))
+        score.append(-sum(known[lang, g] for g in grams_of(t)) / max(runs, 1))
+    failed = [f[0] < 50 or 100 * f[4] > 50 * f[0] for f in features]
+    xs = defaultdict(list)
+    for (_, lang), s, f in zip(rows, score, failed, strict=True):
+        if s is not None and not f:
+            xs[lang].append(round(s / quality.STEP) * quality.STEP)
+    middle = {k: np.median(v) for k, v in xs.items()}
+    off = {k: [abs(x - middle[k]) for x in v] for k, v in xs.items()}
+    all_middle, all_spread = (np.median([x for v in y.values() for x in v]) for y in (xs, off))
+    bands = {}
+    for k, v in xs.items():
+        m, s = ((len(v) * a + quality.SHRINKAGE * b) / (len(v) + quality.SHRINKAGE) for a, b in ((middle[k], all_middle), (np.median(off[k]), all_spread)))
+        w = max(quality.LEAST_BAND, quality.BAND_WIDTH * 1.4826 * s)
+        bands[k] = m - w, m + w
+    return [(s, *bands.get(lang, (None, None)), not f and lang in bands and bands[lang][0] <= s <= bands[lang][1]) for (_, lang), s, f in zip(rows, score, failed, strict=True)]
+
+
+def two_languages():
     r = random.Random(2)
-    german = [prose(k, 80, GERMAN) for k in range(12)]
-    junk = " ".join(w + r.choice(["&&&", "***", "%%%"]) for w in prose(600, 90, GERMAN).split())
-    short = prose(601, 10, GERMAN)
-    docs = documents(spark, [prose(k, 120) for k in range(80)]).unionByName(documents(spark, [*german, junk], range(100, 113), "de"))
-    docs = docs.unionByName(documents(spark, [prose(700, 90)], [200], None)).unionByName(documents(spark, [short] * 45, range(300, 345), "de"))
-    for table in (docs.where("doc_id < 300"), docs):  # too few documents, and too few that pass the base rules
-        rows = {x.doc_id: x for x in quality.quality(table).collect()}
-        assert not rows[112].kept and not rows[112].base_failed and rows[112].log_perplexity > rows[112].band_high
-        assert all(rows[k].kept for k in (*range(80), *range(100, 112), 200))
-    known = quality.frequent_languages(docs.where("doc_id < 300"), quality.LEAST_DOCUMENTS)
-    counted = [sum(int(np.frombuffer(x.payload, quality.RECORD)["n"].sum()) for x in quality.count_ngrams(docs, k).collect()) for k in (known, None)]
-    assert counted[0] == counted[1] == sum(len(x.text) for x in docs.collect())
+    junk = [" ".join(w + r.choice(["&&&", "***", "%%%", "|"]) for w in prose(600 + k, 90, v).split()) for k, v in enumerate((WORDS, GERMAN))]
+    rows = [(prose(k, 60 + k % 50), "en") for k in range(60)] + [(prose(k, 70, GERMAN), "de") for k in range(100, 112)]
+    rows += [(junk[0], "en"), (junk[1], "de"), (prose(3, 10), "en"), (None, "en"), ("", "de"), ("word and word again " * 30, "en"), (prose(700, 90), None), (rows[0][0], "en"), ("日本 語" * 20 + prose(5, 60), "ja")]
+    rows += [(prose(800, 60) + " " + prose(801, 40, GERMAN), "en"), ("x" * 3000 + " 123 " + prose(9, 70), "en"), ("".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(600)), "en")]
+    return rows
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 900])
+def test_quality_against_dictionaries(spark, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD_ENTRIES", shard)
+    rows = two_languages()
+    table = spark.createDataFrame([(k, t, lang, k) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, n_words long").repartition(3)
+    got = {r.doc_id: r for r in quality.quality(table).collect()}
+    expected = plain_quality(rows)
+    assert len(got) == len(rows)
+    for k, (t, _) in enumerate(rows):
+        assert (got[k].n_words, got[k].word_chars, got[k].n_symbols, got[k].n_dup_lines, got[k].n_repeat_words) == plain_features(t)
+        s, low, high, kept = expected[k]
+        assert got[k].kept == kept and (s is None) == (got[k].log_perplexity is None)
+        assert s is None or np.allclose([got[k].log_perplexity], [s], atol=2e-3)
+        assert low is None or np.allclose([got[k].band_low, got[k].band_high], [low, high], atol=2e-2)
+    assert all(got[k].kept for k in (*range(72), 78, 79)) and not any(got[k].kept for k in (*range(72, 78), 82, 83))
+    assert got[72].log_perplexity > got[72].band_high and got[73].log_perplexity > got[73].band_high and not got[73].base_failed
+    kept = quality.keep_good(table).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(repr((k, *rows[k], k)) for k in got if got[k].kept)
+
+
+@pytest.mark.parametrize("words", [WORDS, ["".join(chr(c) for c in range(0x4E00 + 7 * k, 0x4E00 + 7 * k + 5)) for k in range(2900)]])
+def test_counts(words):
+    texts = [prose(k, 50, words) for k in range(40)]  # the second alphabet is too large to be packed
+    codes, n, df, characters = quality.counted(texts)
+    plain = plain_table(texts)
+    assert {"".join(map(chr, g)): [a, b] for g, a, b in zip(characters.tolist(), n.tolist(), df.tolist(), strict=True)} == plain
+    assert (np.diff(codes.astype(object)) > 0).all() and (codes == quality.hashes_of(["".join(map(chr, g)) for g in characters.tolist()])).all()
+    halves = quality.added(quality.counted(texts[:15]), quality.counted(texts[15:]))
+    assert all((x == y).all() for x, y in zip(halves, (codes, n, df, characters), strict=True))
+
+
+def test_lookup():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    values = rng.random(len(keys)).astype("f4")
+    find = quality.Lookup(keys, values)
+    order = rng.permutation(len(keys))
+    assert (find(keys[order]) == values[order]).all() and find(keys[-1:])[0] == values[-1]
+    for wrong in (keys[:1] + np.uint64(1), np.array([2**64 - 1], np.uint64)):
+        with pytest.raises(RuntimeError):
+            find(wrong)
 
 
 def language_docs(spark, n=160):
-    texts = [prose(k, 30 + k % 40, GERMAN if k % 2 else langid_words()) for k in range(n)]
+    texts = [prose(k, 30 + k % 40, GERMAN if k % 2 else WORDS) for k in range(n)]
     return documents(spark, texts).selectExpr("doc_id", "text", "case when doc_id % 2 = 1 then 'de' else 'en' end as lang", "source", "n_chars")
 
 
-def langid_words():
-    from .helpers import WORDS
-
-    return WORDS
-
-
 def test_languages(spark, tmp_path):
     docs = language_docs(spark).unionByName(documents(spark, [None, "", "12 ... 34"], [1000, 1001, 1002], lang=None))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
