@@ -8,44 +8,40 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lattica.llm.common import spare, table, written
+from lattica.llm.common import table, written
 from lattica.llm.lines import drop_lines
 from lattica.llm.packing import pack_documents
-from lattica.llm.quality import quality
+from lattica.llm.quality import keep_good
 from lattica.llm.secrets import redact
-from lattica.llm.simhash import near_duplicates
+from lattica.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their language's perplexity bands keep. Rows with an equal doc_id, or with none,
-    go together if any of them fails."""
-    key = spare(docs, "failed_id")
-    failed = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    """Documents that the base rules and their language's perplexity bands keep, each row judged by its own text and lang: rows
+    without a doc_id or with another's stand for themselves, repeated rows go or stay together. Null and empty texts go."""
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that an earlier line nearly equals."""
+    """Every row, without lines that an earlier line equals or nearly equals. Rows are told apart by doc_id and text; a text whose lines all
+    stand earlier becomes empty, null and empty texts stay as they are."""
     return drop_lines(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, once. Documents without a doc_id stay
-    where a group has nothing else."""
-    key = spare(docs, "kept_id")
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates: that of the smallest doc_id (null last), ties by the text and then all columns. Null
+    and empty texts are near duplicates of each other."""
+    return one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with secrets replaced."""
+    """Every row, with secrets in its text replaced; null and empty texts have none."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of up to 4096 tokens."""
+    """Pieces of documents in sequences of up to 4096 tokens. A null or empty text is its end id alone; repeated rows are packed repeatedly."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
