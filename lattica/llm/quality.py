@@ -237,15 +237,16 @@ class Lookup:
     def __init__(self, hashes: np.ndarray, logps: np.ndarray):
         self.bits = np.uint64(64 - min(26, 2 + int(len(hashes)).bit_length()))
         self.first = np.searchsorted(hashes, np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits)
-        self.hashes, self.logps = np.append(hashes, np.uint64(0)), logps
+        self.hashes, self.logps = hashes, logps
 
     def __call__(self, asked: np.ndarray) -> np.ndarray:
-        at = self.first[(asked >> self.bits).astype(np.int64)]
+        last = len(self.hashes) - 1
+        at = np.minimum(self.first[(asked >> self.bits).astype(np.int64)], last)
         wrong = np.flatnonzero(self.hashes[at] != asked)
         while len(wrong):
-            at[wrong] += 1
-            if (self.hashes[at[wrong]] > asked[wrong]).any() or (at[wrong] >= len(self.logps)).any():
+            if ((self.hashes[at[wrong]] > asked[wrong]) | (at[wrong] == last)).any():
                 raise RuntimeError("a text has n-grams that weren't counted: the table has changed")
+            at[wrong] += 1
             wrong = wrong[self.hashes[at[wrong]] != asked[wrong]]
         return self.logps[at]
 
