@@ -102,8 +102,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, label: str = "planes") ->
     """Shards of all documents in ascending doc_id order (nulls first, ties by text), each document's ids then id 0.
 
     Rows are ranged by doc_id, so part follows doc_id; each task encodes its range and closes a shard at SHARD_IDS
-    ids. Spark's committer stores the shards, so lost tasks leave nothing behind; the files are rows (name in part and
-    seq, content), readable on any store that Spark reads.
+    ids, so that a shard is far from the 2 GB that a cell may have unless a single document is. Spark's committer stores the shards, so
+    lost tasks leave nothing behind; the files are rows (name in part and seq, content), readable on any store that Spark reads. Equal
+    ids share a task, which holds a shard at a time, whatever their number. Repeated rows are written repeatedly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +181,8 @@ def export_shards(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`write_shards` of documents, read back by `read_shards`: a row per row, the end id alone for null and empty texts. Rows with a null doc_id
+    come first, rows with an equal one by their text. An empty table gives no row."""
     import public_tokenizers
 
     return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

@@ -7,25 +7,27 @@ come from all learning documents; the classifier is fitted on a sample of at mos
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, bounded, column, exchange, table
 
 BUCKETS = 1 << 16
-#: Learning documents of each language that the classifier is fitted on, by the hash of their doc_id: the bound.
+#: Learning documents of each language that the classifier is fitted on, by a hash of the row: the bound.
 SAMPLE = 600
+#: Of all languages together, so many at most: with very many languages each has fewer.
+SAMPLE_IN_ALL = 60_000
 #: Of those, every so many-th calibrates the temperature and isn't trained on.
 CALIBRATION = 5
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SLOTS = 16
 #: Characters of a batch whose n-grams are counted at once.
 FLUSH = 1 << 20
@@ -167,10 +169,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(learning: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """About SAMPLE rows of each language, by a hash of doc_id; the driver cuts what is over."""
-    rate = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE / n)))))
-    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    return learning.where(place < F.element_at(rate, F.col("lang"))).withColumn("place", place)
+    """About SAMPLE rows of each language, by a hash of the row; the driver cuts what is over. Rows that are equal are one, so that
+    neither copies nor missing ids gather more."""
+    most = max(1, min(SAMPLE, SAMPLE_IN_ALL // len(counts)))
+    rate = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))))
+    place = F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(1 << 40)) / float(1 << 40)
+    return learning.where(place < F.element_at(rate, F.col("lang"))).withColumn("place", place).dropDuplicates(["lang", "place"])
 
 
 def train(learning: DataFrame) -> Classifier | None:
@@ -207,8 +211,9 @@ def train(learning: DataFrame) -> Classifier | None:
 
 
 def identify(docs: DataFrame, learned: Classifier | None) -> DataFrame:
-    """docs(doc_id, text): lang_pred and score per row. Null, empty and letterless texts are `und` with score 0, as are all
-    texts where nothing was learned."""
+    """docs(doc_id, text): held_out, lang_pred and score per row. Null, empty and letterless texts are `und` with score 0, as are all
+    texts where nothing was learned. The prediction is the text's alone, so repeated rows give repeated results; only held_out looks at
+    doc_id, and a null one isn't held out."""
     state = None if learned is None else (learned.langs, learned.idf, learned.w, learned.temperature)
     shared = docs.sparkSession.sparkContext.broadcast(state)
 
@@ -235,5 +240,7 @@ def held_out(docs: DataFrame) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`identify` on all documents, by what those that aren't held out teach. Rows with a null lang teach nothing but are predicted; an
+    empty table gives no row."""
     docs = bounded(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return identify(docs.select("doc_id", "text"), train(docs.where(~held_out(docs))))

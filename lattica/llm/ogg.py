@@ -48,6 +48,7 @@ class Stream:
 
     serial: int
     packets: list[tuple[bytes, int]] = field(default_factory=list)
+    pages: int = 0
 
 
 def page(serial: int, sequence: int, flags: int, granule: int, lacing: bytes, body: bytes) -> bytes:
@@ -119,6 +120,7 @@ def demux(data: bytes) -> dict[int, Stream]:
         if sequence != expected[serial]:
             raise OggError(f"page {expected[serial]} of stream {serial} is missing")
         expected[serial] += 1
+        streams[serial].pages += 1
         if bool(flags & CONTINUED) != (partial[serial] is not None):
             raise OggError(f"broken packet at {at}")
         open_packet, offset, ended = partial[serial], start, []
@@ -181,20 +183,23 @@ def restore(data: bytes) -> tuple[bytes, list[list[float]], int]:
     """Samples, the end times of each channel's packets, and the number of pages."""
     lanes: dict[int, bytes] = {}
     ends, rate = [], RATE
-    channels = 0
+    channels = pages = 0
     for s in demux(data).values():
+        pages += s.pages
+        if not s.packets or len(s.packets[0][0]) != IDENT.size:
+            raise OggError("not a stream of 8-bit samples")
         magic, c, channels, rate, frame, length = IDENT.unpack(s.packets[0][0])
-        if magic != MAGIC or frame != FRAME:
+        if magic != MAGIC or frame != FRAME or not rate or length % FRAME:
             raise OggError("not a stream of 8-bit samples")
         lanes[c] = b"".join(p for p, _ in s.packets[1:])
         if len(lanes[c]) != length:
             raise OggError("samples are missing")
         body = Stream(s.serial, s.packets[1:])
         ends.append(times(body, [len(p) for p, _ in body.packets], rate))
-    if sorted(lanes) != list(range(channels)):
+    if not lanes or sorted(lanes) != list(range(channels)) or len({*map(len, lanes.values())}) > 1:
         raise OggError("a channel is missing")
     arrays = np.stack([np.frombuffer(lanes[c], np.uint8).reshape(-1, FRAME) for c in range(channels)], axis=1)
-    return arrays.tobytes(), ends, data.count(CAPTURE)
+    return arrays.tobytes(), ends, pages
 
 
 def feature(samples: bytes, ends: list[list[float]]) -> str:
@@ -266,4 +271,5 @@ def probe(files: DataFrame, id_column: str, media_column: str) -> DataFrame:
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`text_media` of documents: a row per row, equal texts give equal values. Null is the empty text; an empty table gives no row."""
     return text_media(table(spark, sf_dir, "documents"))

@@ -167,6 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
 
 
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pack_documents` of documents: one or more pieces per row, the end id alone for null and empty texts; an empty table gives no piece."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

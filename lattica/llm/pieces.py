@@ -3,7 +3,8 @@
 A text's symbols are its characters; the agenda holds every pair of neighbours whose union is a piece, best score
 first, leftmost on ties; merging a pair puts its new neighbours' pairs on the agenda. Pieces have the space sign only at
 their start, so a run of space signs always begins a segment that merges by itself: each distinct segment is encoded
-once per cache. Every newly encoded segment of a batch is checked against the sentencepiece library, whose ids count.
+once per cache. Every newly encoded segment of a batch is checked against the sentencepiece library, whose ids count; how many
+had to be corrected is told.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import warnings
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, column, documents, table
-from .wordcache import gathered, through
+from .wordcache import CACHE_BYTES, Cache, gathered
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -145,17 +145,15 @@ class Vocabulary:
 
 
 class PieceEncoder:
-    """Texts to ids, with the agenda; `limit`: segments kept in each of two generations."""
+    """Texts to ids, with the agenda; `limit`: bytes of each generation of the cache."""
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 2 * CACHE_BYTES):
         import sentencepiece
 
         self.vocabulary = Vocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
-        self.limit = limit
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache = Cache(limit)
         self.corrected = 0
 
     def learn(self, segments: list[str]) -> list[bytes]:
@@ -166,7 +164,6 @@ class PieceEncoder:
         for i, ids in zip(asked, self.library.encode([segments[i][1:] for i in asked], num_threads=1), strict=True):
             if ids != own[i]:
                 self.corrected += 1
-                warnings.warn(f"agenda and library differ on {segments[i]!r}", stacklevel=2)
                 own[i] = ids
         return [array("I", ids).tobytes() for ids in own]
 
@@ -185,9 +182,7 @@ class PieceEncoder:
         return [begin + x + end for x in out]
 
     def cached(self, segments: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.older, self.cache = self.cache, {}
-        return through(segments, self.cache, self.older, self.learn)
+        return self.cache.values(segments, self.learn)
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return [self.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
@@ -199,29 +194,32 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of the decoded text. Null is the empty text: begin and end only.
 
-    One narrow pass; repeated rows give repeated results.
+    One narrow pass; nothing depends on doc_id, and repeated rows give repeated results. n_corrected, on the first row of a batch, is how many new
+    segments of the batch the library gave other ids than the agenda: 0, unless the agenda is at fault.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(model_path)
         for b in batches:
             keys, texts = column(b, "doc_id"), column(b, "text")
+            before = encoder.corrected
             ids = encoder.encode([t or "" for t in texts])
             back = encoder.decode(ids)
-            yield batch_of(NAMES, [keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back]], TYPES)
+            corrected = [encoder.corrected - before, *[0] * (len(ids) - 1)][: len(ids)]
+            yield batch_of(NAMES, [keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back], corrected], TYPES)
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long")
 
 
 def piece_ids(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) with begin and end ids."""
+    """(doc_id, ids array<int>) with begin and end ids, per row; null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(model_path)
@@ -233,6 +231,7 @@ def piece_ids(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`piece_digests` of documents: a row per row. Null is the empty text; an empty table gives no row."""
     import public_tokenizers
 
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -29,6 +29,8 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 #: Marks that are parts of their own between a letter and a space.
 MARKS = frozenset(".,;:!?")
 NOTHING = b""
+#: Bytes of a generation of a worker's cache.
+CACHE_BYTES = 48 << 20
 
 
 def byte_letters() -> dict[int, int]:
@@ -39,26 +41,22 @@ def byte_letters() -> dict[int, int]:
 
 
 class SegmentEncoder:
-    """ids of texts as little-endian uint32 bytes. `limit`: segments kept in each of two generations. `plain_special`: the
-    strings of special tokens in a text are ordinary text; the library's own default, which operators use, gives them their ids."""
+    """ids of texts as little-endian uint32 bytes, as the library gives them: the string of an added token in a text gets that token's id.
+    `limit`: bytes of each generation of each cache."""
 
-    def __init__(self, path: str, limit: int = 450_000, plain_special: bool = True):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain_special
-        self.limit = limit
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cache, self.parts = Cache(limit), Cache(limit // 2)
         with open(path) as f:
             config = json.load(f)
         self.split = self.splitter(config)
         # normalizers may change case before added tokens are looked for; what has no case tells quickly where none is
-        added = [t["content"] for t in config.get("added_tokens", ()) if not (plain_special and t["special"])]
+        added = [t["content"] for t in config.get("added_tokens", ())]
         self.marks = {max(re.split(r"[^\W\d_]+", t), key=len) for t in added}
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
 
     def is_odd(self, text: str) -> bool:
         return bool(ODD.search(text) or any(m in text for m in self.marks) and self.added.search(text))
@@ -85,9 +83,7 @@ class SegmentEncoder:
             return self.library([lead + s for s in found])
         split, lower = self.split
         lead_kept = "" if lower else lead
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        parts, learn = self.parts, self.part
+        parts, learn = self.parts.new, self.part
         out: list[bytes] = []
         others = []
         for i, segment in enumerate(found):
@@ -105,6 +101,7 @@ class SegmentEncoder:
             else:
                 cut = split(lead_kept + segment)
             out.append(b"".join([parts.get(p) or learn(p) for p in cut]))
+            parts = self.parts.new
         if others:
             for i, ids in zip(others, self.library([lead + found[i] for i in others]), strict=True):
                 out[i] = ids
@@ -112,8 +109,7 @@ class SegmentEncoder:
 
     def part(self, part: str) -> bytes:
         spelt = part.replace(" ", SPACE).replace("\n", LINE) if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-        return ids
+        return self.parts.put(part, self.parts.old.get(part) or array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text's first segment is encoded as it stands, each later one with the space before it."""
@@ -131,25 +127,41 @@ class SegmentEncoder:
 
     def cached(self, words: list[str]) -> list[bytes]:
         """ids of segments, given without the space before them."""
-        if len(self.cache) > self.limit:
-            self.older, self.cache = self.cache, {}
-        return through(words, self.cache, self.older, lambda fresh: self.segments(fresh, " "))
-
-
-def through(words: list[str], cache: dict[str, bytes], older: dict[str, bytes], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-    """Values of words from a cache of two generations; learn gives those of new ones."""
-    found = list(map(cache.get, words))
-    fresh = []
-    for k, ids in enumerate(found):
-        if ids is None:
-            if (ids := older.get(words[k])) is None:
-                fresh.append(k)
-            else:
-                found[k] = cache[words[k]] = ids
-    if fresh:
-        for k, ids in zip(fresh, learn([words[k] for k in fresh]), strict=True):
-            found[k] = cache[words[k]] = ids
-    return found
+        return self.cache.values(words, lambda fresh: self.segments(fresh, " "))
+
+
+class Cache:
+    """Values of strings in two generations of `limit` bytes each: what a full one holds stays until the next one is full."""
+
+    #: Bytes of an entry besides its characters: two objects and a place in a dictionary.
+    ENTRY = 200
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, word: str, value: bytes) -> bytes:
+        if self.held > self.limit:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.new[word] = value
+        self.held += len(word) * (1 if word.isascii() else 4) + len(value) + self.ENTRY
+        return value
+
+    def values(self, words: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Values of different words; learn gives those of new ones."""
+        found = list(map(self.new.get, words))
+        fresh = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                if (ids := self.old.get(words[k])) is None:
+                    fresh.append(k)
+                else:
+                    found[k] = self.put(words[k], ids)
+        if fresh:
+            for k, ids in zip(fresh, learn([words[k] for k in fresh]), strict=True):
+                found[k] = self.put(words[k], ids)
+        return found
 
 
 def gathered(texts: list[str], ids_of: Callable[[list[str]], list[bytes]], ids_of_heads: Callable[[list[str]], list[bytes]] | None = None) -> list[bytes]:
@@ -184,4 +196,4 @@ SPACE, LINE = (chr(BYTE_LETTERS[ord(c)]) for c in " \n")
 @functools.lru_cache(maxsize=2)
 def segment_encoder(path: str) -> SegmentEncoder:
     """One for each worker process, kept from task to task."""
-    return SegmentEncoder(path, plain_special=False)
+    return SegmentEncoder(path)

@@ -46,6 +46,14 @@ def test_damage_is_found():
             ogg.restore(bad)
 
 
+def test_foreign_streams_are_told():
+    for packets in ([], [b""], [b"OpusHead" + bytes(11)], [ogg.IDENT.pack(ogg.MAGIC, 0, 1, 0, ogg.FRAME, 0)], [ogg.IDENT.pack(ogg.MAGIC, 0, 2, 8000, ogg.FRAME, 0)]):
+        with pytest.raises(ogg.OggError):
+            ogg.restore(ogg.mux([ogg.Stream(1, [(p, 0) for p in packets])]) if packets else b"")
+    data = b"OggS" * 2000  # samples that look like pages
+    assert ogg.restore(ogg.store(data))[2] == ogg.restore(ogg.store(bytes(len(data))))[2]
+
+
 def test_times():
     samples, ends, pages = ogg.restore(ogg.store(bytes(64 * 5000)))
     lane = 32 * 5000

@@ -184,13 +184,13 @@ def language_docs(spark, n=160):
 
 
 def test_languages(spark, tmp_path):
-    docs = language_docs(spark).unionByName(documents(spark, [None, "", "12 ... 34"], [1000, 1001, 1002], lang=None))
+    docs = language_docs(spark).unionByName(documents(spark, [None, "", "12 ... 34", "½ ² Ⅷ ① _"], [1000, 1001, 1002, 1003], lang=None))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in langid.op3_language_id(spark, str(tmp_path)).collect()}
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in rows.items())
     held = [r for k, r in rows.items() if k < 1000 and r.held_out]
     assert len(held) > 20 and all(r.lang_pred == ("de" if r.doc_id % 2 else "en") and 0 <= r.score <= 1 for r in held)
-    assert [(rows[k].lang_pred, rows[k].score) for k in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert [(rows[k].lang_pred, rows[k].score) for k in (1000, 1001, 1002, 1003)] == [("und", 0.0)] * 4
 
 
 def test_held_out_rows_teach_nothing(spark, tmp_path):
@@ -210,6 +210,70 @@ def test_sparse_counts():
     assert again[1][again[0] == 1].tolist() == bucket[doc == 0].tolist()
 
 
+def plain_buckets(text):
+    """Hashed 2- and 3-grams of the text in lower case, a space around it, by numbers modulo 2**32."""
+    t = [ord(c) for c in f" {text.lower()} "]
+    out = Counter()
+    for n, factors, more in ((2, (0x9E3779B1, 0x85EBCA77), 0), (3, (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1), 1)):
+        for i in range(len(t) - n + 1):
+            h = (sum(a * b for a, b in zip(t[i : i + n], factors, strict=True)) + more) % 2**32
+            out[((h ^ h >> 15) * 0x2C1B3C6D) % 2**32 >> 16] += 1
+    return out
+
+
+def test_classifier_against_dictionaries(spark):
+    """TF-IDF and follow-the-regularised-leader with elastic-net penalties, coordinate by coordinate."""
+    texts = [(prose(k, 12, GERMAN if k % 2 else WORDS), k % 2) for k in range(24)]
+    df, n = langid.document_frequencies(documents(spark, [t for t, _ in texts]).repartition(3))
+    plain_df = Counter(b for t, _ in texts for b in plain_buckets(t))
+    assert n == 24 and {b: int(x) for b, x in enumerate(df) if x} == plain_df
+    rows = []
+    for t, k in texts:
+        x = {b: (1 + math.log(c)) * (math.log((1 + 24) / (1 + plain_df[b])) + 1) for b, c in plain_buckets(t).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows.append((k, {b: v / norm for b, v in x.items()} | {langid.BUCKETS: 1.0}))
+    z, squares = defaultdict(float), defaultdict(float)
+
+    def weight(b, k):
+        v = z[b, k]
+        return 0.0 if abs(v) <= langid.L1 else -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(squares[b, k])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(rows)):
+            lang, x = rows[i]
+            w = {(b, k): weight(b, k) for b in x for k in (0, 1)}
+            s = [sum(v * w[b, k] for b, v in x.items()) for k in (0, 1)]
+            p = [1 / (1 + math.exp(s[1 - k] - s[k])) for k in (0, 1)]
+            for b, v in x.items():
+                for k in (0, 1):
+                    g = (p[k] - (k == lang)) * v
+                    z[b, k] += g - (math.sqrt(squares[b, k] + g * g) - math.sqrt(squares[b, k])) / langid.ALPHA * w[b, k]
+                    squares[b, k] += g * g
+    idf = np.log((1 + n) / (1 + df)) + 1
+    doc, bucket, count = langid.sparse_counts([t for t, _ in texts])
+    x = langid.weights(doc, bucket, count, idf, len(texts))
+    model = langid.Classifier(["en", "de"], idf)
+    model.fit([(k, bucket[doc == i], x[doc == i]) for i, (_, k) in enumerate(texts)])
+    assert all(abs(model.w[b, k] - weight(b, k)) < 1e-4 for b in [*plain_df, langid.BUCKETS] for k in (0, 1))
+    assert 0 < np.count_nonzero(model.w) < 2 * len(plain_df)  # the first penalty leaves some at zero
+    langs, scores = model.predict([t for t, _ in texts])
+    for i, (_, x) in enumerate(rows):
+        s = [sum(v * weight(b, k) for b, v in x.items()) for k in (0, 1)]
+        p = [1 / (1 + math.exp((s[1 - k] - s[k]) / model.temperature)) for k in (0, 1)]
+        assert abs(scores[i] - max(p)) < 1e-4 and langs[i] == ("de" if p[1] > p[0] else "en")
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    rows = [(None, "the same text", "en")] * 3000 + [(k, prose(k, 5), "en") for k in range(600)] + [(k, prose(k, 5, GERMAN), "de") for k in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(table, {"en": 3600, "de": 30}).collect()
+    assert sum(r.lang == "de" for r in got) == 30 and sum(r.lang == "en" for r in got) < 120
+    monkeypatch.setattr(langid, "SAMPLE_IN_ALL", 20)
+    assert len(langid.sample(table, {"en": 3600, "de": 30}).collect()) < 40
+
+
 def test_calibration_lowers_loss():
     rng = np.random.default_rng(0)
     model = langid.Classifier(["a", "b"], np.ones(langid.BUCKETS))

@@ -20,8 +20,7 @@ TEXTS = [t or "" for t in ODD_TEXTS] + [" a", "a ", "a  b", "x \n y", "\t", "don
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_segments_equal_whole_texts(path):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    encoder = wordcache.SegmentEncoder(path, limit=50)
+    encoder = wordcache.SegmentEncoder(path, limit=5000)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(TEXTS)] == [whole.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
@@ -45,7 +44,7 @@ def test_operators_give_added_tokens_their_ids(spark, path):
 
 
 def test_agenda_equals_library():
-    encoder = pieces.PieceEncoder(PIECE, limit=50)
+    encoder = pieces.PieceEncoder(PIECE, limit=5000)
     expected = encoder.library.encode(TEXTS, add_bos=True, add_eos=True)
     for _ in range(2):
         got = encoder.encode(TEXTS)
@@ -58,7 +57,7 @@ def test_piece_query(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for r in pieces.piece_digests(documents(spark, ODD_TEXTS), PIECE).collect():
         ids = library.encode(ODD_TEXTS[r.doc_id] or "", add_bos=True, add_eos=True)
-        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.n_corrected == 0 and (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
@@ -148,3 +147,25 @@ def test_step_groups_are_even():
     for s, g in zip(sizes, packing.step_groups(sizes), strict=True):
         loads[g] = loads.get(g, 0) + s
     assert max(loads.values()) - min(loads.values()) <= 512
+
+
+def test_cache_forgets_by_bytes():
+    cache, asked = wordcache.Cache(3000), []
+
+    def learn(words):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
+    for _ in range(3):
+        for k in range(40):
+            assert cache.values([f"w{k}", "often"], learn) == [f"w{k}".encode(), b"often"]
+            assert cache.held <= 3000 + 2 * 220 and len(cache.new) + len(cache.old) < 35
+    assert asked.count("often") == 1 and asked.count("w1") == 3
+    assert cache.values(["x" * 5000, "y"], learn) == [b"x" * 5000, b"y"] and cache.values(["z"], learn) == [b"z"] and "y" in cache.new | cache.old
+
+
+def test_corrections_are_counted(spark, monkeypatch):
+    encoder = pieces.PieceEncoder(PIECE)
+    monkeypatch.setattr(encoder.vocabulary, "encode", lambda s: [5])
+    expected = encoder.library.encode("wrong agenda", add_bos=True, add_eos=True)
+    assert np.frombuffer(encoder.encode(["wrong agenda"])[0], "<u4").tolist() == expected and encoder.corrected == 2
