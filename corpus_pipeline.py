@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import table, written
+from lattica.llm.common import table, temporary, written
 from lattica.llm.lines import drop_lines
 from lattica.llm.packing import pack_documents
 from lattica.llm.quality import keep_good
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another, over documents; what a stage writes for itself is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
