@@ -12,16 +12,21 @@ from ..errors import InvalidArgument
 from ..plans.model import Graph
 
 
+MOST_DENSE = 20_000
+
+
 def weights_of(graph: Graph, pairs: DataFrame) -> DataFrame:
     """pairs(u, v) with w: the weight of the first edge from u to v in edge order, 0.0 for none and for vertices out of
-    range."""
-    first = graph.arcs().groupBy("u", "v").agg(F.min_by("w", "eid").alias("w"))
+    range. Only arcs that are asked for are aggregated."""
+    asked = graph.arcs().join(pairs.select("u", "v").distinct(), ["u", "v"], "left_semi")
+    first = asked.groupBy("u", "v").agg(F.min_by("w", "eid").alias("w"))
     return pairs.join(first, ["u", "v"], "left").select("u", "v", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 def edges_exist(graph: Graph, pairs: DataFrame) -> DataFrame:
-    """pairs(u, v) with found: whether there is an edge from u to v."""
-    return weights_of(graph, pairs).select("u", "v", (F.col("w") != 0.0).alias("found"))
+    """pairs(u, v) with found: whether there is an edge from u to v. An edge has a weight other than zero, so none is looked at."""
+    there = graph.arcs().select("u", "v").join(pairs.select("u", "v").distinct(), ["u", "v"], "left_semi").distinct().withColumn("found", F.lit(True))
+    return pairs.join(there, ["u", "v"], "left").select("u", "v", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def get_weight(graph: Graph, u: int, v: int) -> float:
@@ -119,7 +124,10 @@ def adjacency(graph: Graph) -> DataFrame:
 
 
 def dense(graph: Graph) -> DataFrame:
-    """(u, v, w) for every pair of vertices, 0.0 where there is no edge. For small n: there are n * n rows."""
+    """(u, v, w) for every pair of vertices, 0.0 where there is no edge. There are n * n rows, so graphs of more than MOST_DENSE
+    vertices raise."""
     n = graph.n
+    if n > MOST_DENSE:
+        raise InvalidArgument(f"{n} vertices are too many for a matrix")
     cells = graph.spark.range(n * n).select((F.col("id") / n).cast("long").alias("u"), (F.col("id") % n).alias("v"))
     return weights_of(graph, cells)

@@ -26,8 +26,10 @@ SMALL_ARCS = 2_000_000
 def bfs(graph: Graph, source: int, small: int = SMALL_ARCS) -> DataFrame:
     """Breadth-first search over successors in the policy's order, as a queue would have it; weights don't matter."""
     _source(graph, source)
-    arcs = graph.arcs()
-    if graph.edges.limit(small + 1).count() <= small // (1 if graph.directed else 2):
+    arcs = graph.arcs().select("u", "v", "pos", "eid")
+    if small:
+        arcs = cut(arcs)  # counted and walked, but derived once
+    if small and arcs.limit(small + 1).count() <= small:
         return complete(graph, in_one_task(arcs, lambda a: walk_levels(a, source)))
     return complete(graph, levels(arcs, source))
 

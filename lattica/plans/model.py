@@ -12,13 +12,15 @@ a self-loop once; pos orders the arcs out of u. Every operator works on arcs, wh
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ImmutableGraph, InvalidArgument
+from .loops import ensure_checkpoint_dir
 
 EDGES = "eid long, src long, dst long, w double"
 OPERATIONS = "seq long, kind string, u long, v long, w double"
@@ -55,6 +57,7 @@ class Graph:
     n: int
     directed: bool
     policy: str
+    folder: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -150,5 +153,17 @@ class Graph:
     def count_edges(self) -> int:
         return self.edges.count()
 
-    def unpersist(self) -> None:
+    def stored(self) -> Graph:
+        """The same graph with its edges in one table, dealt and sorted by source: lookups and scans from a source read few row groups, and nothing is
+        derived again. `free` removes the table."""
+        ensure_checkpoint_dir(self.spark)
+        folder = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/graph-{uuid.uuid4().hex}"
+        self.edges.repartition("src").sortWithinPartitions("src", "eid").write.parquet(folder)
+        return replace(self, edges=self.spark.read.schema(EDGES).parquet(folder), folder=folder)
+
+    def free(self) -> None:
+        """Gives up what the graph holds: its cached edges, and its table if it is a stored one. It can't be read then."""
         self.edges.unpersist()
+        if self.folder:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
