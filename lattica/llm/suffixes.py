@@ -11,6 +11,7 @@ settled there, and one of them stands for all in the exchange, so that a passage
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,12 +29,12 @@ from .rolling import Rolling
 MIN_WORDS = 50
 RUN = 16
 #: Words of a flush, and words whose hashes a worker keeps.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 CACHE = 1 << 19
 #: Bits of a window's print, which only proposes equal windows.
 PRINT = np.uint64((1 << 64) - 1)
 #: Suffixes that are sorted at once; those with the same first words stay together.
-SLICE = 1 << 16
+SLICE = 1 << 14
 
 #: A kept suffix: hash of its first RUN words, its document, the place of its start, and the windows that selected it.
 HEAD = np.dtype([("first", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("start", "<i4"), ("n", "<i4")])
@@ -137,7 +138,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, run: int = RUN) -
     than `least` words have none. Rows with an equal doc_id and different texts, or without a doc_id, are documents of their own; a repeated row
     makes its whole text a repeat, listed once. with_doc_id is one document that has part of the passage, null for one without doc_id.
     """
-    buckets, flush_at = partitions(docs.sparkSession), FLUSH
+    # words travel, so a bucket is smaller than elsewhere
+    buckets, flush_at = 2 * partitions(docs.sparkSession), FLUSH
     keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +268,11 @@ def neighbours(heads: np.ndarray, words: list[bytes], least: int, run: int) -> n
     the left: if they are in one interval of either sorted order whose neighbours share as many.
     """
     number: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
-    split = [w.split(b" ") for w in words]
-    flat = np.fromiter((number[w] for own in split for w in own), np.uint32, sum(map(len, split)))
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    numbers, ends = array("I"), []
+    for w in words:
+        numbers.extend(map(number.__getitem__, w.split(b" ")))
+        ends.append(len(numbers))
+    flat, sizes = np.frombuffer(numbers, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
     lefts = (heads["at"] - heads["start"]).astype(np.int64)
     pivot = np.cumsum(sizes) - sizes + lefts
     padded = np.concatenate([flat, np.zeros(1, np.uint32)])
