@@ -22,10 +22,10 @@ ODD_TEXTS = [None, "", " ", "\n\n", "a", "日本語 の テキスト", "é̈ ß
 
 
 def odd_documents(spark):
-    """All odd texts, repeated rows, a null doc_id, and columns whose names operators might use themselves."""
-    df = documents(spark, [*ODD_TEXTS, "no id at all", "no id at all"], [*range(len(ODD_TEXTS)), None, None])
+    """All odd texts, repeated rows, rows with one doc_id and different texts, null doc_ids, and columns whose names operators might use themselves."""
+    df = documents(spark, [*ODD_TEXTS, "no id at all", "no id at all", "another row without an id", prose(8, 90), prose(9, 90)], [*range(len(ODD_TEXTS)), None, None, None, 10, 10])
     df = df.unionByName(df.where("doc_id in (5, 10)"))
-    return df.selectExpr("*", "1 as bucket", "'x' as payload", "2 as id", "3 as line", "'y' as found", "4 as fp", "5 as kept", "6 as failed_id", "7 as kept_id", "8 as dropped_id", "9 as part", "0 as held_out")
+    return df.selectExpr("*", "1 as bucket", "'x' as payload", "2 as id", "3 as line", "'y' as found", "4 as fp", "5 as kept", "6 as failed_id", "7 as kept_id", "8 as dropped_id", "9 as part", "0 as held_out", "1 as text_hash", "2 as lang_key", "'z' as judged_text", "3 as base_failed", "4 as logp", "5 as kept_row_hash", "6 as scored_row", "map('a', 7) as row_hash")
 
 
 @pytest.fixture(scope="module")
