@@ -30,7 +30,7 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 MARKS = frozenset(".,;:!?")
 NOTHING = b""
 #: Bytes of a generation of a worker's cache.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 112 << 20
 
 
 def byte_letters() -> dict[int, int]:
