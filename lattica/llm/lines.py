@@ -2,9 +2,11 @@
 
 Each distinct line is split into MAX_EDITS + 1 segments; lines within MAX_EDITS edits share a segment at nearly the same
 place. Segments are indexed by length, number and content; each line probes the index of every length it may match with
-the substrings that multi-match-aware selection leaves. Lines that meet in the index form groups; within a group lines
-are linked breadth first by banded bit-parallel edit distance, so what is already connected is not compared again. A
-line's class is the connected component of its links; of a class only the first line in the corpus stays.
+the substrings that multi-match-aware selection leaves. A segment that very many lines share is indexed together with a
+further part of the line: what is left and right of it is cut into MAX_EDITS + 1 parts, of which one is free of edits
+too. Lines that meet in the index form groups; within a group lines are linked breadth first by banded bit-parallel edit
+distance, so what is already connected is not compared again. A line's class is the connected component of its links; of
+a class only the first line in the corpus stays.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
+from .common import batch_of, bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
 from .components import connected_components
 from .rolling import Rolling
 
@@ -28,6 +30,11 @@ BLOCK = 1024
 #: Code points of lines that are hashed, or whose groups are compared, at once.
 CHUNK = 1 << 20
 BINS = 32
+#: Segments are counted by a hash of this many slots. Those in slots of more than HOT entries, and of more than HOT_LOAD times the
+#: mean, are indexed with a further part. So no task gets more than HOT_LOAD / SLOTS of all entries by one segment alone.
+SLOTS = 1 << 20
+HOT = 1024
+HOT_LOAD = 4
 
 
 def segment_starts(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +46,12 @@ def segment_starts(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray,
 
 def selections(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """What lines of these lengths look up: (line, start, size, tag of indexed length and segment)."""
+    for _, _, *found in shifted_selections(length, edits):
+        yield tuple(found)
+
+
+def shifted_selections(length: np.ndarray, edits: int) -> Iterator[tuple]:
+    """`selections`, each with how much shorter the indexed line is and how far the segment has moved."""
     rows = np.arange(len(length))
     for shorter in range(edits + 1):
         other = length - shorter
@@ -49,7 +62,7 @@ def selections(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.
             for shift in range(-edits, edits + shorter + 1):
                 at = start + shift
                 ok = (at >= np.maximum(low, 0)) & (at <= np.minimum(high, length - size)) & (other > edits)
-                yield rows[ok], at[ok], size[ok], other[ok] * (edits + 1) + i
+                yield shorter, shift, rows[ok], at[ok], size[ok], other[ok] * (edits + 1) + i
 
 
 def index_entries(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,6 +72,27 @@ def index_entries(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray,
         yield rows, start, size, length * (edits + 1) + i
 
 
+def parts_beside(length: np.ndarray, i: int, edits: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """What segment i leaves of lines of these lengths, cut into edits + 1 parts: (is it left of the segment, start, size)."""
+    start, size = segment_starts(length, i, edits)
+    right = length - start - size
+    n_left = 0 if i == 0 else edits + 1 if i == edits else i
+    for k in range(n_left):
+        low = start * k // n_left
+        yield True, low, start * (k + 1) // n_left - low
+    n_right = edits + 1 - n_left
+    for k in range(n_right):
+        low = right * k // n_right
+        yield False, start + size + low, right * (k + 1) // n_right - low
+
+
+def moves(left: bool, shift: int, shorter: int, edits: int) -> Iterator[int]:
+    """How far a part free of edits may have moved, if its segment has moved by `shift` and the line has grown by `shorter`."""
+    for d in range(-edits, edits + 1):
+        if (abs(d) + abs(shift - d) + abs(shorter - shift) if left else abs(shift) + abs(d - shift) + abs(shorter - d)) <= edits:
+            yield d
+
+
 def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points in a row, and the lengths."""
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, lines), np.int64, len(lines))
@@ -125,15 +159,15 @@ def within(a: np.ndarray, b: np.ndarray, points: np.ndarray, begin: np.ndarray,
 RECORD = np.dtype([("key", "<u8"), ("line", "<i8"), ("probe", "u1")])
 
 
-def met(records: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(group, line) for the lines that meet in the index. A group's name is a hash of its lines, so that the same lines
-    that meet again form no further group; a large group is named for each pair of its blocks."""
+def meetings(records: np.ndarray, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(groups, lines) for the lines that meet in the index. A group's name is a hash of its lines, so that the same lines
+    that meet again form no further group; a large group is named for each pair of its blocks, one block at a time."""
     records = records[np.lexsort((records["line"], records["key"]))]
     key, line = records["key"], records["line"]
-    new_key = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+    if not len(key):
+        return
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
     begins = np.flatnonzero(new_key)
-    if not len(begins):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     new_line = new_key | np.concatenate([[True], line[1:] != line[:-1]])
     lines = np.add.reduceat(new_line.astype(np.int64), begins)
     both = (np.minimum.reduceat(records["probe"], begins) == 0) & (np.maximum.reduceat(records["probe"], begins) == 1)
@@ -141,21 +175,19 @@ def met(records: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     good = np.repeat((lines > 1) & both, sizes) & new_line
     members, run = line[good], np.repeat(np.arange(len(begins)), sizes)[good]
     if not len(members):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     count = np.diff(np.concatenate([starts, [len(run)]]))
     name = np.add.reduceat(mix64(members.view(np.uint64)), starts)
     small = np.repeat(count <= block, count)
-    groups, found = [np.repeat(name, count)[small]], [members[small]]
+    yield np.repeat(name, count)[small].view(np.int64), members[small]
     for k in np.flatnonzero(count > block):
         own = members[starts[k] : starts[k] + count[k]]
         blocks = -(-len(own) // block)
         mine = (mix64(own.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
         for j in range(blocks):
             low, high = np.minimum(mine, j), np.maximum(mine, j)
-            groups.append(mix64(name[k] ^ mix64((low * blocks + high + 1).astype(np.uint64))))
-            found.append(own)
-    return np.concatenate(groups).view(np.int64), np.concatenate(found)
+            yield mix64(name[k] ^ mix64((low * blocks + high + 1).astype(np.uint64))).view(np.int64), own
 
 
 def group_links(sizes: np.ndarray, lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,34 +238,111 @@ def spans(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def edit_links(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+class Segments:
+    """Keys of the segments of some lines, on both sides of the index."""
+
+    def __init__(self, texts: list[str], edits: int):
+        points, self.length = code_points(texts)
+        self.begin, self.edits = np.cumsum(self.length) - self.length, edits
+        self.rolling = Rolling(mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+    def keys(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return mix64(self.rolling.windows(self.begin[rows] + start, size) ^ mix64(tag.astype(np.uint64)))
+
+    def indexed(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shorter, shift, line, tag, key) of a line's own segments."""
+        for rows, start, size, tag in index_entries(self.length, self.edits):
+            yield 0, 0, rows, tag, self.keys(rows, start, size, tag)
+
+    def probed(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        for shorter, shift, rows, start, size, tag in shifted_selections(self.length, self.edits):
+            yield shorter, shift, rows, tag, self.keys(rows, start, size, tag)
+
+    def refined(self, probe: bool, shorter: int, shift: int, rows: np.ndarray, tag: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(line, key) with a further part, for entries of one segment number."""
+        if not len(rows):
+            return
+        other, i = tag // (self.edits + 1), int(tag[0] % (self.edits + 1))
+        for part, (left, start, size) in enumerate(parts_beside(other, i, self.edits), 1):
+            for move in moves(left, shift, shorter, self.edits) if probe else [0]:
+                at = start + move
+                ok = (at >= 0) & (at + size <= self.length[rows])
+                content = self.rolling.windows(self.begin[rows[ok]] + at[ok], size[ok])
+                yield rows[ok], mix64(key[ok] + mix64(content ^ mix64(np.full(len(content), part, np.uint64))))
+
+
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+
+
+def hot_slots(lines: DataFrame, edits: int, hot: int) -> np.ndarray:
+    """Which slots hold segments that very many lines may share (SLOTS booleans). Tasks' counts are summed in parts; the driver gets their bits."""
+    parts, schema = 16, "bucket int, payload binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            texts = column(b, "line")
+            for s, e in spans(texts):
+                for *_, keys in Segments(texts[s:e], edits).indexed():
+                    np.add.at(counts, slot_of(keys), 1)
+        if counts.any():
+            yield batch_of(["bucket", "payload"], [list(range(parts)), [p.tobytes() for p in counts.astype("<u4").reshape(parts, -1)]], [pa.int32(), pa.binary()])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, payload in zip(column(b, "bucket"), column(b, "payload"), strict=True):
+                counts = np.frombuffer(payload, "<u4").astype(np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        for part, counts in sums.items():
+            # the parts are slots dealt by a hash, so that each has the mean of all
+            bits = np.packbits(counts > max(hot, HOT_LOAD * counts.mean()))
+            yield batch_of(["bucket", "payload"], [[part], [bits.tobytes()]], [pa.int32(), pa.binary()])
+
+    out = np.zeros((parts, SLOTS // parts), bool)
+    for r in exchange(lines.select("line").mapInArrow(count, schema), parts).mapInArrow(total, schema).collect():
+        out[r.bucket] = np.unpackbits(np.frombuffer(r.payload, np.uint8))
+    return out.reshape(-1)
+
+
+def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> DataFrame:
     """lines(line_id long, line string), distinct lines longer than `edits`: edges (a, b) between lines within `edits` edits
-    whose components are those of all such pairs."""
+    whose components are those of all such pairs. `hot` decides how segments are indexed, never what is found."""
     buckets = partitions(lines.sparkSession)
+    crowded = lines.sparkSession.sparkContext.broadcast(np.packbits(hot_slots(lines, edits, hot)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.unpackbits(crowded.value).astype(bool)
+        some = slots.any()
         for b in batches:
             all_texts, all_ids = column(b, "line"), b.column(b.schema.get_field_index("line_id")).to_numpy()
-            yield from (entries(all_ids[s:e], all_texts[s:e]) for s, e in spans(all_texts))
-
-    def entries(ids: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        points, length = code_points(texts)
-        begin = np.cumsum(length) - length
-        rolling = Rolling(mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-        parts = []
-        for probe, found in ((0, index_entries(length, edits)), (1, selections(length, edits))):
-            for rows, start, size, tag in found:
-                part = np.empty(len(rows), RECORD)
-                part["key"] = mix64(rolling.windows(begin[rows] + start, size) ^ mix64(tag.astype(np.uint64)))
-                part["line"], part["probe"] = ids[rows], probe
-                parts.append(part)
+            for s, e in spans(all_texts):
+                yield entries(all_ids[s:e], all_texts[s:e], slots if some else None)
+
+    def entries(ids: np.ndarray, texts: list[str], slots: np.ndarray | None) -> pa.RecordBatch:
+        segments, parts = Segments(texts, edits), []
+
+        def add(rows: np.ndarray, keys: np.ndarray, probe: int) -> None:
+            part = np.empty(len(rows), RECORD)
+            part["key"], part["line"], part["probe"] = keys, ids[rows], probe
+            parts.append(part)
+
+        for probe, found in ((0, segments.indexed()), (1, segments.probed())):
+            for shorter, shift, rows, tag, keys in found:
+                if slots is not None:
+                    full = slots[slot_of(keys)]
+                    for r, k in segments.refined(bool(probe), shorter, shift, rows[full], tag[full], keys[full]):
+                        add(r, k, probe)
+                    rows, keys = rows[~full], keys[~full]
+                add(rows, keys, probe)
         records = np.concatenate(parts)
         return pack_by_bucket(records, (records["key"] % np.uint64(buckets)).astype(np.int64), buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, members = met(payloads(batches, RECORD))
-        for i in range(0, len(groups), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(groups[i : i + (1 << 16)]), pa.array(members[i : i + (1 << 16)])], names=["group", "line_id"])
+        for groups, members in meetings(payloads(batches, RECORD)):
+            for i in range(0, len(groups), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(groups[i : i + (1 << 16)]), pa.array(members[i : i + (1 << 16)])], names=["group", "line_id"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[int] = []

@@ -70,6 +70,42 @@ def test_edit_distance_and_index(most):
     assert all((i, j) in met for i in range(n) for j in range(i + 1, n) if truth[i, j])
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_index_with_a_further_part(most):
+    """With every segment refined, all near pairs still meet."""
+    texts = sorted({t for t in near_lines(20 + most, 60) if len(t) > most})
+    segments = lines.Segments(texts, most)
+    index = defaultdict(set)
+    for shorter, shift, rows, tag, keys in segments.indexed():
+        for r, k in segments.refined(False, shorter, shift, rows, tag, keys):
+            for row, key in zip(r.tolist(), k.tolist(), strict=True):
+                index[key].add(row)
+    met = set()
+    for shorter, shift, rows, tag, keys in segments.probed():
+        for r, k in segments.refined(True, shorter, shift, rows, tag, keys):
+            met |= {(min(row, o), max(row, o)) for row, key in zip(r.tolist(), k.tolist(), strict=True) for o in index.get(key, ())}
+    n = len(texts)
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if edits(texts[i], texts[j]) <= most]
+    assert all(p in met for p in near)
+    assert most == 0 or (len(near) > 20 and len(met) < n * (n - 1) // 2)
+
+
+@pytest.mark.parametrize("hot", [0, 2, 1 << 40])
+def test_crowded_segments(spark, hot):
+    """Lines that share a segment and little else, some of them near copies: the same classes however segments are indexed."""
+    r = random.Random(4)
+    pool = [f"{a}{b}{c}" for a in ("https://exam", "catalogue ", "") for b in near_lines(5, 20, "abcdefg") for c in ("ple.com/page", " no. 12 of 40")]
+    texts = sorted({t for t in pool + [t[:3] + "#" + t[4:-2] + t[-1] for t in r.sample(pool, 30)] if len(t) >= 5})
+    frame = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string").repartition(3)
+    found = {(x.node, x.component) for x in connected_components(lines.edit_links(frame, 2, hot)).collect()}
+    of = classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if edits(texts[i], texts[j]) <= 2])
+    groups = defaultdict(set)
+    for i, c in enumerate(of):
+        groups[c].add(i)
+    assert found == {(i, min(g)) for g in groups.values() if len(g) > 1 for i in g}
+    assert len(found) > 40
+
+
 def plain_duplicates(docs, most, least):
     """docs: (doc_id, text). Per document, as told apart by both: {line: (first doc_id, first line)}."""
     docs = sorted({d for d in docs if d[1]}, key=lambda d: (d[0] is None, d[0] or 0, signed(xxhash.xxh64_intdigest(d[1].encode(), 42))))
@@ -136,7 +172,7 @@ def test_large_group_is_blocked_without_loss():
     members = rng.choice(1 << 40, 50, replace=False).astype(np.int64)
     records = np.empty(100, lines.RECORD)
     records["key"], records["line"], records["probe"] = 7, np.tile(members, 2), np.repeat([0, 1], 50)
-    groups, found = lines.met(records, block=8)
+    groups, found = map(np.concatenate, zip(*lines.meetings(records, block=8), strict=True))
     by = defaultdict(set)
     for g, m in zip(groups.tolist(), found.tolist(), strict=True):
         by[g].add(m)
