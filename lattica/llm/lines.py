@@ -30,6 +30,8 @@ BLOCK = 1024
 #: Code points of lines that are hashed, or whose groups are compared, at once.
 CHUNK = 1 << 20
 BINS = 32
+#: Pairs of lines that all groups at hand compare at once, or one line of each with its rest if that is more.
+PAIRS = 1 << 14
 #: Segments are counted by a hash of this many slots. Those in slots of more than HOT entries, and of more than HOT_LOAD times the
 #: mean, are indexed with a further part. So no task gets more than HOT_LOAD / SLOTS of all entries by one segment alone.
 SLOTS = 1 << 20
@@ -202,26 +204,43 @@ def group_links(sizes: np.ndarray, lines: list[str], edits: int) -> tuple[np.nda
     active = [g for g, w in enumerate(waiting) if len(w) > 1]
     links_a, links_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while active:
-        heads, rest, cuts = [], [], [0]
+        # while many groups are left, each compares one line with its rest; the last ones compare several at once
+        most = PAIRS // len(active)
+        steps, pairs_a, pairs_b, n = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for g in active:
-            if not queues[g]:
-                queues[g].append(int(waiting[g][0]))
-                waiting[g] = waiting[g][1:]
-            heads.append(queues[g].pop())
-            rest.append(waiting[g])
-            cuts.append(cuts[-1] + len(waiting[g]))
-        a, b = np.repeat(heads, np.diff(cuts)), np.concatenate(rest)
+            rest, reached = waiting[g], bool(queues[g])
+            heads = max(1, min(len(queues[g]) if reached else len(rest) - 1, most // len(rest)))
+            if reached:
+                own = np.array(queues[g][-heads:])
+                del queues[g][-heads:]
+            else:
+                own, rest = rest[:heads], rest[heads:]
+                # none is known to be connected, so they are compared with each other too
+                if heads > 1:
+                    x, y = np.triu_indices(heads, 1)
+                    pairs_a.append(own[x])
+                    pairs_b.append(own[y])
+                    n += len(x)
+            pairs_a.append(np.repeat(own, len(rest)))
+            pairs_b.append(np.tile(rest, heads))
+            steps.append((g, n, heads, rest, reached))
+            n += heads * len(rest)
+        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
         # each edit changes a length by one at most, and a bag of characters by two
-        maybe = np.abs(length[a] - length[b]) <= edits
-        maybe[maybe] = np.abs(bags[a[maybe]] - bags[b[maybe]]).sum(axis=1) <= 2 * edits
-        maybe[maybe] = within(a[maybe], b[maybe], points, begin, length, edits)
-        links_a.append(a[maybe])
-        links_b.append(b[maybe])
-        for k, g in enumerate(active):
-            hit = maybe[cuts[k] : cuts[k + 1]]
-            if hit.any():
-                queues[g] += rest[k][hit].tolist()
-                waiting[g] = rest[k][~hit]
+        near = np.abs(length[a] - length[b]) <= edits
+        near[near] = np.abs(bags[a[near]] - bags[b[near]]).sum(axis=1) <= 2 * edits
+        near[near] = within(a[near], b[near], points, begin, length, edits)
+        for g, start, heads, rest, reached in steps:
+            hits = near[start : start + heads * len(rest)].reshape(heads, len(rest))
+            hit = hits.any(axis=0)
+            if reached and heads > 1:  # the heads are connected: one link to each line will do
+                first = hits.argmax(axis=0)
+                hits[:] = False
+                hits[first[hit], np.flatnonzero(hit)] = True
+            queues[g] += rest[hit].tolist()
+            waiting[g] = rest[~hit]
+        links_a.append(a[near])
+        links_b.append(b[near])
         active = [g for g in active if len(waiting[g]) > (0 if queues[g] else 1)]
     return np.concatenate(links_a), np.concatenate(links_b)
 
