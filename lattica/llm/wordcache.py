@@ -13,6 +13,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,9 @@ class SegmentEncoder:
             return self.library([lead + s for s in found])
         split, lower = self.split
         lead_kept = "" if lower else lead
-        parts, learn = self.parts.new, self.part
+        # what follows `lead` is known as a segment, if the segments that are kept are led alike
+        words = self.cache if lower or lead else Cache(0)
+        parts, learn, merged = self.parts.new, self.part, self.merged
         out: list[bytes] = []
         others = []
         for i, segment in enumerate(found):
@@ -95,21 +98,29 @@ class SegmentEncoder:
                 segment = segment.lower()
             # letters alone are one part, and so is a mark after them: no pattern needed
             if segment.isalpha():
-                cut = [lead_kept + segment]
-            elif segment[:-1].isalpha() and segment[-1] in MARKS:
-                cut = [lead_kept + segment[:-1], segment[-1]]
+                out.append(words.get(segment) or merged(lead_kept + segment))
+                continue
+            if segment[-1:] in MARKS and segment[:-1].isalpha():
+                if (word := words.get(segment[:-1])) is None:
+                    word = merged(lead_kept + segment[:-1])
+                    if words is self.cache:
+                        words.put(segment[:-1], word)
+                out.append(word + (parts.get(segment[-1]) or learn(segment[-1])))
             else:
-                cut = split(lead_kept + segment)
-            out.append(b"".join([parts.get(p) or learn(p) for p in cut]))
+                out.append(b"".join([parts.get(p) or learn(p) for p in split(lead_kept + segment)]))
             parts = self.parts.new
         if others:
             for i, ids in zip(others, self.library([lead + found[i] for i in others]), strict=True):
                 out[i] = ids
         return out
 
-    def part(self, part: str) -> bytes:
+    def merged(self, part: str) -> bytes:
         spelt = part.replace(" ", SPACE).replace("\n", LINE) if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-        return self.parts.put(part, self.parts.old.get(part) or array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes())
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.old.get(part) or self.merged(part)
+        return self.parts.put(part, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text's first segment is encoded as it stands, each later one with the space before it."""
@@ -133,34 +144,47 @@ class SegmentEncoder:
 class Cache:
     """Values of strings in two generations of `limit` bytes each: what a full one holds stays until the next one is full."""
 
-    #: Bytes of an entry besides its characters: two objects and a place in a dictionary.
-    ENTRY = 200
+    #: Bytes of an entry's place in a dictionary.
+    PLACE = 100
+    #: Entries that are added before the limit is looked at again.
+    STEP = 4096
 
     def __init__(self, limit: int):
         self.limit, self.held = limit, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def get(self, word: str) -> bytes | None:
+        return self.old.get(word) if (value := self.new.get(word)) is None else value
+
     def put(self, word: str, value: bytes) -> bytes:
         if self.held > self.limit:
             self.old, self.new, self.held = self.new, {}, 0
         self.new[word] = value
-        self.held += len(word) * (1 if word.isascii() else 4) + len(value) + self.ENTRY
+        self.held += getsizeof(word) + getsizeof(value) + self.PLACE
         return value
 
+    def add(self, words: list[str], values: list[bytes]) -> None:
+        for i in range(0, len(words), self.STEP):
+            if self.held > self.limit:
+                self.old, self.new, self.held = self.new, {}, 0
+            some, theirs = words[i : i + self.STEP], values[i : i + self.STEP]
+            self.new.update(zip(some, theirs, strict=True))
+            self.held += sum(map(getsizeof, some)) + sum(map(getsizeof, theirs)) + len(some) * self.PLACE
+
     def values(self, words: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """Values of different words; learn gives those of new ones."""
         found = list(map(self.new.get, words))
-        fresh = []
-        for k, ids in enumerate(found):
-            if ids is None:
-                if (ids := self.old.get(words[k])) is None:
-                    fresh.append(k)
-                else:
-                    found[k] = self.put(words[k], ids)
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        lost = [words[k] for k in missed]
+        values = list(map(self.old.get, lost))
+        fresh = [j for j, ids in enumerate(values) if ids is None]
         if fresh:
-            for k, ids in zip(fresh, learn([words[k] for k in fresh]), strict=True):
-                found[k] = self.put(words[k], ids)
+            for j, ids in zip(fresh, learn([lost[j] for j in fresh]), strict=True):
+                values[j] = ids
+        for k, ids in zip(missed, values, strict=True):
+            found[k] = ids
+        self.add(lost, values)
         return found
 
 
