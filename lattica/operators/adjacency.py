@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..plans.loops import with_rank
 from ..plans.model import Graph
 
 
@@ -50,8 +51,7 @@ def neighbors_in(graph: Graph, of: DataFrame) -> DataFrame:
 
 
 def _ranked(arcs: DataFrame, of: str, other: str) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(of).orderBy("pos", "eid")) - 1
-    return arcs.select(of, rank.cast("long").alias("rank"), other, "w")
+    return with_rank(arcs, "rank", of, "pos", "eid").select(of, "rank", other, "w")
 
 
 def iter_out(graph: Graph, u: int) -> Iterator[tuple[int, float]]:

@@ -6,27 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import cut, cut_by
+from ..plans.loops import Dealt, cut
 from ..plans.model import Graph
+from ..plans.stars import stars
 
 
 def components(graph: Graph) -> DataFrame:
-    """(v, component): the least vertex connected to v, directions aside. Alternating large and small stars: minima are
-    partial aggregates joined back, so no vertex's neighbours are gathered."""
-    edges = cut(graph.edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    before = None
-    while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-        arcs = edges.toDF("x", "y").union(edges.select("b", "a").toDF("x", "y"))
-        least = arcs.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        edges = arcs.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-    return graph.vertices.withColumnRenamed("id", "v").join(edges.toDF("v", "least"), "v", "left").select("v", F.coalesce("least", "v").alias("component"))
+    """(v, component): the least vertex connected to v, directions aside."""
+    least = stars(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.vertices.withColumnRenamed("id", "v").join(least.toDF("v", "least"), "v", "left").select("v", F.coalesce("least", "v").alias("component"))
 
 
 def shortest_paths(graph: Graph, source: int) -> DataFrame:
@@ -34,10 +22,10 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
     that still lowers one means a negative cycle and raises."""
     if not 0 <= source < graph.n:
         raise InvalidArgument(f"source {source}")
-    arcs = cut_by(graph.arcs().groupBy("u", "v").agg(F.min("w").alias("w")), "u")
+    arcs = Dealt(graph.arcs().groupBy("u", "v").agg(F.min("w").alias("w")), "u")
     known = fallen = cut(graph.spark.createDataFrame([(source, 0.0)], "v long, distance double"))
     for _ in range(graph.n):
-        offers = fallen.withColumnRenamed("v", "u").join(arcs, "u").groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
+        offers = arcs.joined(fallen.withColumnRenamed("v", "u")).groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
         merged = cut(known.join(offers, "v", "full").select("v", F.least("distance", "offer").alias("distance"), (F.col("offer") < F.coalesce("distance", F.lit(float("inf")))).alias("fell")))
         known, fallen = merged.select("v", "distance"), merged.where("fell").select("v", "distance")
         if fallen.isEmpty():
@@ -48,12 +36,12 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
 def pagerank(graph: Graph, rounds: int, damping: float = 0.85) -> DataFrame:
     """(v, rank) after so many rounds from 1 / n: a vertex passes its rank on over its arcs in equal parts; what vertices
     without arcs hold is spread over all."""
-    arcs = cut_by(graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "u")
-    degree = arcs.groupBy("u").agg(F.sum("k").alias("out"))
+    arcs = Dealt(graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "u")
+    degree = arcs.rows.groupBy("u").agg(F.sum("k").alias("out"))
     ranks = cut(graph.vertices.select(F.col("id").alias("v"), F.lit(1.0 / graph.n).alias("rank")).join(degree.withColumnRenamed("u", "v"), "v", "left"))
     for _ in range(rounds):
         stuck = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        passed = ranks.select(F.col("v").alias("u"), "rank", "out").join(arcs, "u").groupBy("v").agg(F.sum(F.col("rank") * F.col("k") / F.col("out")).alias("got"))
+        passed = arcs.joined(ranks.select(F.col("v").alias("u"), "rank", "out")).groupBy("v").agg(F.sum(F.col("rank") * F.col("k") / F.col("out")).alias("got"))
         base = (1 - damping) / graph.n + damping * stuck / graph.n
         ranks = cut(ranks.select("v", "out").join(passed, "v", "left").select("v", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "out"))
     return ranks.select("v", "rank")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import cut, cut_by
+from ..plans.loops import Dealt, cut
 from ..plans.model import Graph
 
 SCHEMA = "v long, dist int, parent long, ord long"
@@ -48,13 +48,13 @@ def complete(graph: Graph, reached: DataFrame) -> DataFrame:
 def levels(arcs: DataFrame, source: int) -> DataFrame:
     """A join for each level. A vertex is found by the least (ord of u, pos) among the arcs that lead to it, and a level's
     vertices follow one another in that order: that is what a queue does, so order and parents are exact."""
-    arcs = cut_by(arcs.select("u", "v", "pos", "eid"), "u")
     spark = arcs.sparkSession
+    arcs = Dealt(arcs.select("u", "v", "pos", "eid"), "u")
     reached = frontier = cut(spark.createDataFrame([(source, 0, -1, 0)], SCHEMA))
     count, level = 1, 0
     while True:
         level += 1
-        found = frontier.select(F.col("v").alias("u"), F.col("ord").alias("from")).join(arcs, "u").join(reached.select("v"), "v", "left_anti").groupBy("v").agg(F.min(F.struct("from", "pos", "eid", "u")).alias("first"))
+        found = arcs.joined(frontier.select(F.col("v").alias("u"), F.col("ord").alias("from"))).join(reached.select("v"), "v", "left_anti").groupBy("v").agg(F.min(F.struct("from", "pos", "eid", "u")).alias("first"))
         placed = cut(placement(found).select("v", F.lit(level).alias("dist"), F.col("first.u").alias("parent"), (F.col("place") + count).alias("ord")))
         new = placed.count()
         if not new:
@@ -78,12 +78,12 @@ def placement(found: DataFrame) -> DataFrame:
 def distances(graph: Graph, source: int) -> DataFrame:
     """(v, dist) alone: levels need no order, so nothing is ranged or numbered."""
     _source(graph, source)
-    arcs = cut_by(graph.arcs().select("u", "v").distinct(), "u")
+    arcs = Dealt(graph.arcs().select("u", "v").distinct(), "u")
     reached = frontier = cut(graph.spark.createDataFrame([(source, 0)], "v long, dist int"))
     level = 0
     while True:
         level += 1
-        found = frontier.select(F.col("v").alias("u")).join(arcs, "u").select("v").distinct().join(reached.select("v"), "v", "left_anti")
+        found = arcs.joined(frontier.select(F.col("v").alias("u"))).select("v").distinct().join(reached.select("v"), "v", "left_anti")
         frontier = cut(found.withColumn("dist", F.lit(level)))
         if frontier.isEmpty():
             break

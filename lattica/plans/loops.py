@@ -50,3 +50,54 @@ def cut_by(df: DataFrame, *columns: str) -> DataFrame:
         return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+#: A key of more rows than this, and of more than one in HUBS of all rows, is a hub: there are at most HUBS of them.
+HUB_ROWS = 100_000
+HUBS = 1024
+
+
+class Dealt:
+    """A table that loops join by one column, round after round, without shuffling it again. Rows of hubs aren't dealt, as one task would
+    hold them: they stay spread, and what is joined to them, a row a hub at most, is broadcast."""
+
+    def __init__(self, df: DataFrame, key: str, hub_rows: int = HUB_ROWS):
+        self.key = key
+        self.rows = cut(df)
+        self.heavy: DataFrame | None = None
+        n, hubs = self.rows.count(), []
+        if n > hub_rows:
+            large = self.rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(hub_rows, n // HUBS))
+            hubs = [r[key] for r in large.select(key).collect()]
+        light = self.rows
+        if hubs:
+            light = light.where(~F.col(key).isin(hubs))
+            self.heavy = cut(self.rows.where(F.col(key).isin(hubs)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            self.hubs = hubs
+        self.light = cut_by(light, key)
+
+    def joined(self, other: DataFrame) -> DataFrame:
+        """other, which has a row a key at most, with the rows of its keys."""
+        out = other.join(self.light, self.key)
+        if self.heavy is not None:
+            few = other.where(F.col(self.key).isin(self.hubs))
+            out = out.unionByName(F.broadcast(few).join(self.heavy, self.key))
+        return out
+
+
+def with_rank(df: DataFrame, name: str, group: str, *order: str) -> DataFrame:
+    """df with its place, from 0, in a total order among the rows of its group, a long. Rows are ranged by group and order, so a large group
+    is split over tasks; three numbers a range go through the driver and back."""
+    ranged = cut(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range", group).agg(F.count(F.lit(1)).alias("_n"))
+    ends = sizes.groupBy("_range").agg(F.min(group).alias("first"), F.max(group).alias("last"), F.max_by("_n", group).alias("n"))
+    last, before, bases = None, 0, []
+    for r in sorted(ends.collect()):
+        if r["first"] == last:
+            bases.append((r["_range"], last, before))
+        before = r["n"] + (before if r["first"] == last == r["last"] else 0)
+        last = r["last"]
+    inside = F.row_number().over(W.partitionBy("_range", group).orderBy(*order)) - 1
+    placed = ranged.withColumn("_place", inside)
+    offsets = df.sparkSession.createDataFrame(bases, f"_range int, {group} long, _base long")
+    return placed.join(F.broadcast(offsets), ["_range", group], "left").withColumn(name, F.col("_place") + F.coalesce("_base", F.lit(0).cast("long"))).drop("_range", "_place", "_base")

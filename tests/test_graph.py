@@ -8,7 +8,9 @@ import pytest
 from lattica.errors import ImmutableGraph, InvalidArgument
 from lattica.operators import adjacency as adj
 from lattica.operators import analytics, order, traverse
+from lattica.plans.loops import Dealt, with_rank
 from lattica.plans.model import EDGES, OPERATIONS, Graph
+from lattica.plans.stars import stars
 
 DEMO = [(0, 1, 1.0), (0, 2, 2.0), (1, 3, 1.5), (2, 3, 1.0), (2, 4, 3.0), (7, 8, 5.0), (3, 5, 2.0), (4, 5, 1.0), (5, 6, 1.0), (6, 7, 4.0)]
 
@@ -241,3 +243,28 @@ def test_shortest_paths(spark):
 def test_pagerank_sums_to_one(spark):
     g = graph(spark, random_edges(3, 10, 15), 10, True)
     assert abs(sum(x[0] for x in rows(analytics.pagerank(g, 4), "rank")) - 1) < 1e-9
+
+
+def test_hubs_are_not_dealt(spark):
+    arcs = spark.createDataFrame([(0, v) for v in range(50)] + [(u, u + 1) for u in range(1, 40)], "u long, v long")
+    dealt = Dealt(arcs, "u", hub_rows=20)
+    assert dealt.hubs == [0] and dealt.light.where("u = 0").isEmpty() and dealt.heavy.count() == 50
+    other = spark.createDataFrame([(0, "a"), (3, "b"), (99, "c")], "u long, x string")
+    assert rows(dealt.joined(other), "u", "x", "v") == [(0, "a", v) for v in range(50)] + [(3, "b", 4)]
+    assert Dealt(arcs, "u").heavy is None
+    assert Dealt(arcs.where("false"), "u").joined(other).isEmpty()
+
+
+def test_ranks_of_groups_split_over_ranges(spark):
+    pairs = [(g, x) for g, n in ((1, 1), (2, 400), (3, 3), (7, 150), (9, 1)) for x in range(n)]
+    random.Random(1).shuffle(pairs)
+    ranked = with_rank(spark.createDataFrame(pairs, "g long, x long").repartition(3), "rank", "g", "x")
+    assert all(x == r for x, r in rows(ranked, "x", "rank")) and rows(ranked, "g", "x") == sorted(pairs)
+    assert with_rank(spark.createDataFrame([], "g long, x long"), "rank", "g", "x").isEmpty()
+
+
+def test_stars_of_chains_and_loops(spark):
+    edges = [(i, i + 1) for i in range(10, 60)] + [(5, 5), (80, 90), (90, 85), (80, 85), (80, 90)]
+    found = stars(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    assert rows(found, "a", "b") == [(i, 10) for i in range(11, 61)] + [(85, 80), (90, 80)]
+    assert stars(spark.createDataFrame([(5, 5)], "a long, b long")).isEmpty()
