@@ -1,62 +1,18 @@
-"""Connected components of an edge table, by alternating large and small stars (Kiveris et al., 2014).
-
-No node's neighbours are ever gathered: minima are partial aggregates, joined back to the edges. They are dealt anew before
-the join, so that adaptive execution may split a node that has very many edges. Each round is a table in the shared folder.
-"""
+"""Connected components of an edge table whose rounds are tables in the shared folder; see `lattica.plans.stars`."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
-
-
-def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node reachable) for the edges a-b of one task, by hooking and pointer jumping on arrays."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        rx, ry = root[x], root[y]
-        differ = rx != ry
-        if not differ.any():
-            return nodes, nodes[root]
-        x, y, rx, ry = x[differ], y[differ], rx[differ], ry[differ]
-        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
+from ..plans.stars import local_roots, stars
+from .common import written
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: a > b. Large: each node's larger neighbours go to the least of it and its neighbours. Small: each node and
-    its lesser neighbours go to the least of those."""
-    arcs = edges.union(edges.select(F.col("b"), F.col("a"))) if large else edges
-    arcs = arcs.toDF("u", "v")
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = arcs.join(least.repartition(partitions(edges.sparkSession)), "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+__all__ = ["connected_components", "local_roots"]
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of edges(a long, b long) that has another one for a neighbour; component is the least
     node. edges are read once."""
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = written(pairs.where("a <> b"), label)
-    before = None
-    while True:
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if (now.n, now.h) == before or now.n == 0:
-            break
-        before = (now.n, now.h)
-        current = written(star(star(current, True), False), label)
-    stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("node"), "component")).distinct()
+    found = stars(edges, lambda df: written(df, label))
+    return found.select(F.col("a").alias("node"), F.col("b").alias("component")).union(found.select("b", "b")).distinct()
