@@ -3,7 +3,7 @@
 Three base kinds come from patterns. Beyond them, source and configuration text is lexed: a tokeniser finds comments and string
 literals (escapes, triple quotes, back quotes, prefixes) and leaves a shadow of the text in which neither can be taken for
 syntax; a parser reads name-literal pairs off the shadow: assignments, `key: value` of JSON, YAML and INI, keyword
-arguments, typed declarations, YAML blocks, XML elements and attributes. Constants are propagated, wherever they are defined: a
+arguments, typed declarations, lists (each item by itself), YAML blocks, XML elements and attributes. Constants are propagated, wherever they are defined: a
 name set to other names and literals has their literals. A literal's score grows with how sensitive its target name is
 and how random it looks; those that reach `THRESHOLD` are spans. Comments and the insides of strings are lexed by themselves
 and define nothing.
@@ -46,11 +46,17 @@ TYPE = rf"(?:{KIND_OF}(?:[\x20\t]*\|[\x20\t]*{KIND_OF})*|{LITERAL})"
 #: What a value is made of: literals side by side (in parentheses on further lines too) or joined by `+`, `.` or `..`, and names.
 JOINED = rf"\s*(?:\+|\.\.?)\s*(?:{LITERAL}|[A-Za-z_][A-Za-z0-9_.]*)"
 VALUE = rf"(?:\(\s*{LITERAL}(?:{JOINED}|\s*{LITERAL})*|{LITERAL}(?:{JOINED}|[\x20\t]*(?:\\\n\s*)?{LITERAL}(?![\x20\t]*[:=]))*|[A-Za-z0-9+/_.=@$!%-]+(?:[\x20\t]*\+?[\x20\t]*{LITERAL}|[\x20\t]*\+[\x20\t]*[A-Za-z_][A-Za-z0-9_.]*)*)"
+#: A list of literals: `["a", "b"]`, `{"a", "b"}`, `("a", "b")`, `[]string{"a"}`; or YAML items, one a line.
+ITEMS = rf"{LITERAL}\s*(?:,\s*{LITERAL}\s*)*(?:,\s*)?"
+LIST = rf"(?:\[\][A-Za-z_][A-Za-z0-9_.]*\s*)?[\[{{]\s*{ITEMS}[\]}}]|\(\s*{LITERAL}\s*,\s*(?:{ITEMS})?\)"
+ITEM = re.compile(rf"[\x20\t]*-[\x20\t]+({LITERAL}|[A-Za-z0-9+/_.=@$!%-]+)[\x20\t]*(?:\n|\Z)", re.A)
+DASHED = rf"\n(?:[\x20\t]*-[\x20\t]+(?:{LITERAL}|[A-Za-z0-9+/_.=@$!%-]+)[\x20\t]*(?:\n|\Z))+"
 PAIR = re.compile(
-    rf"""(?:(?<![A-Za-z0-9_.-])|(?<=\s--))(?:(?P<quoted>{LITERAL})|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*))(?:[\x20\t]*:[\x20\t]*(?P<type>{TYPE})(?=[\x20\t]+=[\x20\t]|[\x20\t]*=[\x20\t]*[({MARK}]))?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?:(?P<block>[|>][+-]?\d?[\x20\t]*\n)|(?P<value>{VALUE}))""",
+    rf"""(?:(?<![A-Za-z0-9_.-])|(?<=\s--))(?:(?P<quoted>{LITERAL})|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*))(?:[\x20\t]*:[\x20\t]*(?P<type>{TYPE})(?=[\x20\t]+=[\x20\t]|[\x20\t]*=[\x20\t]*[({MARK}]))?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?:(?P<block>[|>][+-]?\d?[\x20\t]*\n)|(?P<list>{LIST})|(?P<dashed>{DASHED})|(?P<value>{VALUE}))""",
     re.A,
 )
 ATOM = re.compile(rf"{LITERAL}|[A-Za-z0-9+/_.=@$!%-]+", re.A)
+ANY_LITERAL = re.compile(LITERAL)
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.A)
 QUOTED_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\x20-]*", re.A)
 BLOCK_LINE = re.compile(r"([\x20\t]*)([^\n]*)(?:\n|\Z)")
@@ -69,6 +75,11 @@ def name_weight(name: str) -> float:
     return max([0, *(SENSITIVE.get(p, 0) for p in parts), *(SENSITIVE.get(a + b, 0) for a, b in zip(parts, parts[1:]))])
 
 
+def singular(name: str) -> str:
+    """The name of a list as that of an item: API_KEYS, passwords."""
+    return name if name[-2:].lower() == "ss" else name.rstrip("sS")
+
+
 def randomness(literal: str) -> float:
     """0 to 3: entropy in bits a character, with what it gains by mixing kinds of characters."""
     if len(literal) < 6:
@@ -143,6 +154,17 @@ def definitions(text: str, shadow: str, strings: dict[int, Span]) -> list[Defini
         if m["block"] is not None:
             found.append(Definition(name, m.start(), block(shadow, m.start(), m.end())))
             continue
+        if m["list"] is not None:
+            start, end = m.span("list")
+            found += [Definition(singular(name), m.start(), [strings[x.start()]]) for x in ANY_LITERAL.finditer(shadow, start, end)]
+            continue
+        if m["dashed"] is not None:
+            for x in ITEM.finditer(shadow, m.start("dashed") + 1, m.end("dashed")):
+                if x[1][0] == MARK:
+                    found.append(Definition(singular(name), m.start(), [strings[x.start(1)]]))
+                elif any(map(str.isdigit, x[1])):  # bare words without one are taken for prose
+                    found.append(Definition(singular(name), m.start(), [x.span(1)]))
+            continue
         atoms, parts, base = [*ATOM.finditer(m["value"])], [], m.start("value")
         for a in atoms:
             word = a[0].rstrip("+") if len(atoms) > 1 else a[0]

@@ -174,6 +174,23 @@ def test_statements_side_by_side():
         assert secrets.lexed(text) == expected, text
 
 
+LISTS = [
+    ('API_KEYS = ["Zx81kq0LmP22", "q9W8e7R6t5"]', ["Zx81kq0LmP22", "q9W8e7R6t5"]),
+    ('passwords: ("Zx81kq0LmP22",)', ["Zx81kq0LmP22"]),
+    ('{"tokens": ["Zx81kq0LmP22",\n "q9W8e7R6t5",\n], "n": ["q9W8e7R6t5"]}', ["Zx81kq0LmP22", "q9W8e7R6t5"]),
+    ('secrets := []string{"Zx81kq0LmP22"}', ["Zx81kq0LmP22"]),
+    ('tokens:\n  - Zx81kq0LmP22\n  - "q9W8e7R6t5"\nnames:\n  - q9W8e7R6t5', ["Zx81kq0LmP22", "q9W8e7R6t5"]),
+    ("tokens:\n  - name: a\n    secret: Zx81kq0LmP22\n", ["Zx81kq0LmP22"]),
+    ("Passwords:\n- something\n- other", []),
+    ('secret = ["abc", "abc", "abc"]', []),
+]
+
+
+@pytest.mark.parametrize("text, found", LISTS)
+def test_lists(text, found):
+    assert [text[s:e] for s, e in secrets.lexed(text)] == found
+
+
 def test_long_chains_and_cycles():
     text = "".join(f"k{i} = k{i + 1}\n" for i in range(3000)) + 'k3000 = "aB3xY9zQ7"\nclient_secret = k0\na = b\nb = a\nclient_secret = a\n'
     assert [text[s:e] for s, e in secrets.lexed(text)] == ["aB3xY9zQ7"]
