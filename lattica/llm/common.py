@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -37,6 +40,29 @@ def documents(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+KEPT: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """What `make` gives for a few arguments, made once for each worker process and kept from task to task until `forget_kept`."""
+    cached = functools.lru_cache(maxsize=2)(make)
+    KEPT.append(cached)
+    return cached
+
+
+def forget_kept() -> None:
+    """Frees what earlier operators' tasks left in this worker, for operators that need the memory themselves."""
+    held = [f for f in KEPT if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        gc.collect()
+        try:  # small objects' pages go back to the machine only if asked for
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass
+
+
 def spare(docs: DataFrame, name: str) -> str:
     """A column name like this one that docs doesn't have."""
     taken = {c.lower() for c in docs.columns}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bloom_filter, bounded, column, exchange, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
+from .common import batch_of, bloom_filter, bounded, column, exchange, forget_kept, maybe_in, mix64, pack_by_bucket, partitions, payloads, spare, table, written
 from .components import connected_components
 from .rolling import Rolling
 
@@ -299,6 +299,7 @@ def hot_slots(lines: DataFrame, edits: int, hot: int) -> np.ndarray:
     parts, schema = 16, "bucket int, payload binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         counts = np.zeros(SLOTS, np.int64)
         for b in batches:
             texts = column(b, "line")

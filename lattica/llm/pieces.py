@@ -9,7 +9,6 @@ had to be corrected is told.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, column, documents, table
+from .common import batch_of, column, documents, kept_by_worker, table
 from .wordcache import CACHE_BYTES, Cache, gathered
 
 SPACE = "▁"
@@ -188,7 +187,7 @@ class PieceEncoder:
         return [self.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def piece_encoder(path: str) -> PieceEncoder:
     """One for each worker process, kept from task to task."""
     return PieceEncoder(path)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import batch_of, bounded, column, mix64, spare, table, written
+from .common import batch_of, bounded, column, forget_kept, mix64, spare, table, written
 
 ORDER = 5
 SYMBOLS = "#*$%&|<>"
@@ -154,6 +154,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """docs(lang_key, text): (lang_key, gram, n, df) for every n-gram of every language and of all: occurrences, and documents with it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         sums: dict[str, Counts] = {}
         for b in batches:
             texts = column(b, "text")

@@ -8,7 +8,6 @@ any other kind of space, or with the string of an added token, are given to the
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -20,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import single_threaded
+from .common import kept_by_worker, single_threaded
 
 #: A space before anything but a plainly visible character: such texts aren't cut.
 ODD = re.compile(" (?![!-~¡-ᙿ])")
@@ -217,7 +216,7 @@ BYTE_LETTERS = byte_letters()
 SPACE, LINE = (chr(BYTE_LETTERS[ord(c)]) for c in " \n")
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def segment_encoder(path: str) -> SegmentEncoder:
     """One for each worker process, kept from task to task."""
     return SegmentEncoder(path)
