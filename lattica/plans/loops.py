@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,18 +27,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and read from Parquet in the checkpoint folder from here on. Unlike `cut`, plans over it take nothing of df's plan
+    along: over many rounds of joins the constraints that a checkpoint inherits grow until the driver has no memory left."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+#: Bytes of a plan's input, as Spark estimates them, for a task that sorts or groups them; some million narrow rows in Parquet.
+TASK_BYTES = 12 << 20
+MOST_TASKS = 10_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """So many tasks that what each sorts or groups of df stays the same as df grows; spark.sql.shuffle.partitions at least, also where Spark
+    knows no size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 50 else max(least, min(size // TASK_BYTES, MOST_TASKS))
+
+
 def with_ordinal(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with its place, from 0, in a total order. Rows are ranged by the order and numbered within their range; only the
-    ranges' sizes, one number a task, go through the driver."""
-    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = sorted((r._range, r.n) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    """df with its place, from 0, in a total order. Rows are ranged by the order and sorted, and numbered as they are stored; only the ranges'
+    sizes, one number a task, go through the driver."""
+    ranged = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
+    # the number of the task above 33 bits, that of the row in it below
+    stored = kept(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    sizes = dict(stored.groupBy(F.shiftright("_at", 33).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
     base, bases = 0, []
-    for k, n in sizes:
-        bases.append((k, base))
-        base += n
-    offsets = df.sparkSession.createDataFrame(bases, "_range int, _base long")
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_base") + F.col("_place")).drop("_range", "_place", "_base")
+    for k in range(max(sizes, default=0) + 1):
+        bases.append(f"{base}L")
+        base += sizes.get(k, 0)
+    first = F.get(F.expr(f"array({', '.join(bases)})"), F.shiftright("_at", 33).cast("int"))
+    return stored.withColumn(name, first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
 def cut_by(df: DataFrame, *columns: str) -> DataFrame:

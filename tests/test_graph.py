@@ -268,3 +268,21 @@ def test_stars_of_chains_and_loops(spark):
     found = stars(spark.createDataFrame(edges, "a long, b long").repartition(4))
     assert rows(found, "a", "b") == [(i, 10) for i in range(11, 61)] + [(85, 80), (90, 80)]
     assert stars(spark.createDataFrame([(5, 5)], "a long, b long")).isEmpty()
+
+
+def test_local_forests_and_thinning_keep_the_forest(spark, monkeypatch):
+    monkeypatch.setattr(order, "CHUNK", 40)
+    edges = random_edges(4, 12, 150)
+    g = graph(spark, edges, 12, False)
+    expected = rows(order.minimum_spanning_forest(g), "eid")
+    fewer = order.thinned(g.edges.where("src <> dst"), 0)
+    assert set(expected) <= set(rows(fewer, "eid")) and fewer.count() < 75
+    assert rows(order.minimum_spanning_forest(g, small=0), "eid") == expected == rows(order.minimum_spanning_forest(g, small=20), "eid")
+
+
+def test_rounds_take_no_constraints_along(spark):
+    edges = [(i, i + 1, float((i * 37) % 64 + 1)) for i in range(64)]
+    forest = order.minimum_spanning_forest(graph(spark, edges, 65, False), small=0)
+    assert len(forest._jdf.queryExecution().optimizedPlan().constraints().toSeq().toString()) < 2000
+    deep = order.prim(graph(spark, [*edges, (70, 71, 1.0)], 72, False), 64)
+    assert rows(deep, "eid") == [(i,) for i in range(64)] and order.prim(graph(spark, edges, 66, False), 65).isEmpty()
