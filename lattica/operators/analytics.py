@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import Dealt, cut
+from ..plans.loops import Dealt, kept
 from ..plans.model import Graph
 from ..plans.stars import stars
 
@@ -22,13 +22,16 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
     that still lowers one means a negative cycle and raises."""
     if not 0 <= source < graph.n:
         raise InvalidArgument(f"source {source}")
-    arcs = Dealt(graph.arcs().groupBy("u", "v").agg(F.min("w").alias("w")), "u")
-    known = fallen = cut(graph.spark.createDataFrame([(source, 0.0)], "v long, distance double"))
+    graph = graph.kept()
+    arcs = Dealt(graph.arcs().select("u", "v", "w"), "u")
+    known = fallen = kept(graph.spark.createDataFrame([(source, 0.0)], "v long, distance double"))
+    count = 1
     for _ in range(graph.n):
-        offers = arcs.joined(fallen.withColumnRenamed("v", "u")).groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
-        merged = cut(known.join(offers, "v", "full").select("v", F.least("distance", "offer").alias("distance"), (F.col("offer") < F.coalesce("distance", F.lit(float("inf")))).alias("fell")))
+        offers = arcs.joined(fallen.withColumnRenamed("v", "u"), count).groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
+        merged = kept(known.join(offers, "v", "full").select("v", F.least("distance", "offer").alias("distance"), (F.col("offer") < F.coalesce("distance", F.lit(float("inf")))).alias("fell")))
         known, fallen = merged.select("v", "distance"), merged.where("fell").select("v", "distance")
-        if fallen.isEmpty():
+        count = fallen.count()
+        if not count:
             return graph.vertices.withColumnRenamed("id", "v").join(known, "v", "left")
     raise InvalidArgument("negative cycle")
 
@@ -36,12 +39,14 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
 def pagerank(graph: Graph, rounds: int, damping: float = 0.85) -> DataFrame:
     """(v, rank) after so many rounds from 1 / n: a vertex passes its rank on over its arcs in equal parts; what vertices
     without arcs hold is spread over all."""
-    arcs = Dealt(graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "u")
-    degree = arcs.rows.groupBy("u").agg(F.sum("k").alias("out"))
-    ranks = cut(graph.vertices.select(F.col("id").alias("v"), F.lit(1.0 / graph.n).alias("rank")).join(degree.withColumnRenamed("u", "v"), "v", "left"))
+    graph = graph.kept()
+    arcs = Dealt(graph.arcs().select("u", "v"), "u")
+    degree = arcs.rows.groupBy("u").agg(F.count(F.lit(1)).alias("out"))
+    ranks = kept(graph.vertices.select(F.col("id").alias("v"), F.lit(1.0 / graph.n).alias("rank")).join(degree.withColumnRenamed("u", "v"), "v", "left"))
     for _ in range(rounds):
         stuck = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        passed = arcs.joined(ranks.select(F.col("v").alias("u"), "rank", "out")).groupBy("v").agg(F.sum(F.col("rank") * F.col("k") / F.col("out")).alias("got"))
+        parts = ranks.where("out is not null").select(F.col("v").alias("u"), (F.col("rank") / F.col("out")).alias("part"))
+        passed = arcs.joined(parts, graph.n).groupBy("v").agg(F.sum("part").alias("got"))
         base = (1 - damping) / graph.n + damping * stuck / graph.n
-        ranks = cut(ranks.select("v", "out").join(passed, "v", "left").select("v", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "out"))
+        ranks = kept(ranks.select("v", "out").join(passed, "v", "left").select("v", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "out"))
     return ranks.select("v", "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,7 +46,10 @@ MOST_TASKS = 10_000
 def tasks_for(df: DataFrame) -> int:
     """So many tasks that what each sorts or groups of df stays the same as df grows; spark.sql.shuffle.partitions at least, also where Spark
     knows no size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    # of a join Spark takes the product
+    size = min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return least if size >= 1 << 50 else max(least, min(size // TASK_BYTES, MOST_TASKS))
 
@@ -65,14 +69,14 @@ def with_ordinal(df: DataFrame, name: str, *order: str) -> DataFrame:
     return stored.withColumn(name, first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
-def cut_by(df: DataFrame, *columns: str) -> DataFrame:
+def cut_by(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
     """As cut, dealt by columns: joins and aggregations on them don't shuffle df again. Adaptive plans hide how they are
     dealt, so this one is planned without."""
     spark = df.sparkSession
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns))
+        return cut(df.repartition(tasks, *columns))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -82,28 +86,49 @@ HUB_ROWS = 100_000
 HUBS = 1024
 
 
+#: Up to so many rows are broadcast to a table that loops join.
+FEW = 1_000_000
+#: Rows of such a table for a task that joins them.
+TASK_ROWS = 1_000_000
+
+
 class Dealt:
-    """A table that loops join by one column, round after round, without shuffling it again. Rows of hubs aren't dealt, as one task would
-    hold them: they stay spread, and what is joined to them, a row a hub at most, is broadcast."""
+    """A table that loops join by one column, round after round. Few rows are broadcast to it, as it is; it is dealt by the column, once, when a
+    round has more. Rows of hubs aren't dealt, as one task would hold them: they stay spread, and what is joined to them, a row a hub at
+    most, is broadcast."""
 
     def __init__(self, df: DataFrame, key: str, hub_rows: int = HUB_ROWS):
-        self.key = key
-        self.rows = cut(df)
-        self.heavy: DataFrame | None = None
-        n, hubs = self.rows.count(), []
-        if n > hub_rows:
-            large = self.rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(hub_rows, n // HUBS))
-            hubs = [r[key] for r in large.select(key).collect()]
-        light = self.rows
-        if hubs:
-            light = light.where(~F.col(key).isin(hubs))
-            self.heavy = cut(self.rows.where(F.col(key).isin(hubs)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-            self.hubs = hubs
-        self.light = cut_by(light, key)
-
-    def joined(self, other: DataFrame) -> DataFrame:
-        """other, which has a row a key at most, with the rows of its keys."""
-        out = other.join(self.light, self.key)
+        """df is read often: a stored table, or projections of one."""
+        self.key, self.rows, self.hub_rows = key, df, hub_rows
+
+    @cached_property
+    def count(self) -> int:
+        return self.rows.count()
+
+    @cached_property
+    def hubs(self) -> list:
+        if self.count <= self.hub_rows:
+            return []
+        large = self.rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(self.hub_rows, self.count // HUBS))
+        return [r[self.key] for r in large.select(self.key).collect()]
+
+    @cached_property
+    def tasks(self) -> int:
+        return max(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.count // TASK_ROWS))
+
+    @cached_property
+    def light(self) -> DataFrame:
+        return cut_by(self.rows.where(~F.col(self.key).isin(self.hubs)) if self.hubs else self.rows, self.tasks, self.key)
+
+    @cached_property
+    def heavy(self) -> DataFrame | None:
+        return kept(self.rows.where(F.col(self.key).isin(self.hubs)).repartition(self.tasks)) if self.hubs else None
+
+    def joined(self, other: DataFrame, count: int | None = None) -> DataFrame:
+        """other, which has a row a key at most, with the rows of its keys; count: of other's rows, if it is known."""
+        if count is not None and count <= FEW:
+            return F.broadcast(other).join(self.rows, self.key)
+        out = other.hint("shuffle_hash").join(self.light, self.key)
         if self.heavy is not None:
             few = other.where(F.col(self.key).isin(self.hubs))
             out = out.unionByName(F.broadcast(few).join(self.heavy, self.key))

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ImmutableGraph, InvalidArgument
-from .loops import ensure_checkpoint_dir
+from .loops import ensure_checkpoint_dir, kept
 
 EDGES = "eid long, src long, dst long, w double"
 OPERATIONS = "seq long, kind string, u long, v long, w double"
@@ -58,6 +58,7 @@ class Graph:
     directed: bool
     policy: str
     folder: str | None = None
+    at_hand: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -161,6 +162,10 @@ class Graph:
         self.edges.repartition("src").sortWithinPartitions("src", "eid").write.parquet(folder)
         return replace(self, edges=self.spark.read.schema(EDGES).parquet(folder), folder=folder)
 
+    def kept(self) -> Graph:
+        """The same graph with its edges in a table, as they come: what reads them often derives them once."""
+        return self if self.folder or self.at_hand else replace(self, edges=kept(self.edges), at_hand=True)
+
     def free(self) -> None:
         """Gives up what the graph holds: its cached edges, and its table if it is a stored one. It can't be read then."""
         self.edges.unpersist()

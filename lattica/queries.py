@@ -450,7 +450,7 @@ UNION ALL SELECT 4, 0, 0, '}}')
 SELECT * FROM lines""")
 def dot_export_undirected(spark, sf_dir):
     """Weights with fractions, and tree edges in both directions."""
-    graph = tables.trade(spark, sf_dir, directed=False)
+    graph = tables.trade(spark, sf_dir, directed=False).kept()
     return dot.dot_lines(graph, traverse.bfs(graph, 0))
 
 

@@ -3,11 +3,13 @@
 import random
 from collections import deque
 
+import pyarrow as pa
 import pytest
 
 from lattica.errors import ImmutableGraph, InvalidArgument
 from lattica.operators import adjacency as adj
 from lattica.operators import analytics, order, traverse
+from lattica.plans import loops
 from lattica.plans.loops import Dealt, with_rank
 from lattica.plans.model import EDGES, OPERATIONS, Graph
 from lattica.plans.stars import stars
@@ -286,3 +288,29 @@ def test_rounds_take_no_constraints_along(spark):
     assert len(forest._jdf.queryExecution().optimizedPlan().constraints().toSeq().toString()) < 2000
     deep = order.prim(graph(spark, [*edges, (70, 71, 1.0)], 72, False), 64)
     assert rows(deep, "eid") == [(i,) for i in range(64)] and order.prim(graph(spark, edges, 66, False), 65).isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_traversals_however_levels_are_joined(spark, monkeypatch, few):
+    monkeypatch.setattr(loops, "FEW", few)
+    monkeypatch.setattr(loops, "TASK_ROWS", 10)
+    edges = random_edges(9, 14, 40)
+    g = graph(spark, edges, 15, False)
+    expected = plain_bfs(ordered(edges, 15, False, "star"), 2)
+    assert rows(traverse.bfs(g, 2, small=0), "v", "dist", "parent", "ord") == expected
+    assert rows(traverse.distances(g, 2), "v", "dist") == [x[:2] for x in expected]
+    assert abs(sum(x[0] for x in rows(analytics.pagerank(g, 2), "rank")) - 1) < 1e-9
+
+
+def test_depth_first_arcs_take_four_bytes():
+    r = random.Random(3)
+    out = [[r.randrange(50) for _ in range(r.randrange(40))] for _ in range(50)]
+    arcs = [(u, v) for u in range(50) for v in out[u]]
+    placed = list(enumerate(arcs))
+    r.shuffle(placed)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(k, u, v) for k, (u, v) in placed[at : at + 64]], strict=True)], names=["place", "u", "v"]) for at in range(0, len(placed), 64)]
+    head, to = traverse.packed(batches, 50)
+    assert to.itemsize == 4 and to[: len(arcs)].tolist() == [v for _, v in arcs]
+    found = zip(*(c.tolist() for c in traverse.walk_depths(head, to, 0)), strict=True)
+    reached = {v: (dist, parent, k) for k, (v, dist, parent) in enumerate(found)}
+    assert sorted((v, *reached.get(v, (-1, -1, -1))) for v in range(50)) == plain_dfs(out, 0)
