@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import adjacency as adj
 from .operators import analytics, order, traverse
 from .operators.containers import MinHeap, Queue, Stack
-from .plans.loops import ensure_checkpoint_dir
+from .plans.loops import ensure_checkpoint_dir, tasks_for
 from .plans.model import OPERATIONS, Graph, check_edges
 from .sources import dot, tables
 from .streaming.oplog import EdgeTable, stream_operations
@@ -213,7 +213,8 @@ def _additions(spark, sf_dir):
 @query(f"WITH {LOG} SELECT u, v, count(*) AS parallel, arg_min(w, seq) AS w FROM log WHERE kind = 'add' GROUP BY u, v")
 def from_edges_star_multi(spark, sf_dir):
     graph = Graph.from_edges(*_additions(spark, sf_dir), True, "star")
-    parallel = graph.arcs().groupBy("u", "v").agg(F.count(F.lit(1)).alias("parallel"))
+    arcs = graph.arcs()
+    parallel = arcs.repartition(tasks_for(arcs), "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("parallel"))
     return parallel.join(adj.weights_of(graph, parallel.select("u", "v")), ["u", "v"]).select("u", "v", "parallel", "w")
 
 
@@ -257,15 +258,16 @@ def validate_edges(spark, sf_dir):
 
 @query(f"WITH {LIVE} SELECT eid, src, dst, w FROM live")
 def stream_upsert(spark, sf_dir):
-    """The log in three files, streamed one by one into an edge table."""
+    """The log in three parts, streamed one by one into an edge table."""
     log, n = tables.part_operations(spark, sf_dir)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     third = log.count() // 3 + 1
-    for k in range(3):
-        log.where(F.floor(F.col("seq") / third) == k).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     table = EdgeTable(spark, f"{folder}/edges", n, True)
-    stream_operations(spark, f"{folder}/log", table, f"{folder}/progress", max_files=1).awaitTermination()
+    for k in range(3):
+        log.where(F.floor(F.col("seq") / third) == k).write.mode("append").parquet(f"{folder}/log")
+        # files of a part come in any order: a batch takes all that are there
+        stream_operations(spark, f"{folder}/log", table, f"{folder}/progress", max_files=2**31 - 1).awaitTermination()
     return table.graph().edges
 
 
@@ -486,8 +488,8 @@ def dot_read_file(spark, sf_dir):
     """From a path, as graphs come in."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/dot-{uuid.uuid4().hex}"
-    _chain_text(spark, sf_dir).repartition(1).sortWithinPartitions("line_no").select("line").write.text(folder)
-    return dot.read_dot(spark, f"{folder}/part-*").edges.select("src", "dst", "w")
+    dot.write_lines(_chain_text(spark, sf_dir), f"{folder}/orders.dot")
+    return dot.read_dot(spark, f"{folder}/orders.dot").edges.select("src", "dst", "w")
 
 
 def _walks(spark, sf_dir):

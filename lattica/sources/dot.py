@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.text import general_format
+from ..plans.loops import kept, tasks_for
 from ..plans.model import Graph
 
 MOST_CHARS = 1023
@@ -18,13 +19,41 @@ BLANKS = "^[ \\t\\n\\x0B\\f\\r]+"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one file. The file is a single row at first, so that lines keep their numbers; for files beyond
-    2 GB give parse_dot numbered lines of your own."""
+    """(line_no, line) of a file, or of several in the order of their paths, from 0. Blocks of a file are read by tasks of their own; lines are numbered
+    within their block as they are stored, and a row a block goes through the driver."""
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, lineSep="\n")
     except AnalysisException as e:
         raise InvalidArgument(f"{path} can't be read") from e
-    return text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    stored = kept(lines)
+    blocks = stored.groupBy("_file", "_start").agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    base, bases = 0, []
+    for r in sorted(blocks, key=lambda r: (r["_file"], r["_start"])):
+        bases.append((r["_file"], r["_start"], base - r["first"]))
+        base += r["n"]
+    shifts = spark.createDataFrame(bases, "_file string, _start long, _shift long")
+    return stored.join(F.broadcast(shifts), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One file at path, which all share, from lines(line_no, line) in the order of their numbers: tasks sort and write parts, which are
+    then put one behind the other as bytes."""
+    spark = lines.sparkSession
+    lines.repartitionByRange(tasks_for(lines), "line_no").sortWithinPartitions("line_no").select("line").write.text(f"{path}.parts", lineSep="\n")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder = hadoop.fs.Path(f"{path}.parts")
+    fs = folder.getFileSystem(conf)
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    out = fs.create(hadoop.fs.Path(path), True)
+    try:
+        for part in parts:
+            source = fs.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def parsed(lines: DataFrame, truncate: bool = True) -> DataFrame:

@@ -71,3 +71,17 @@ def test_plain_directed_writing(spark, tmp_path):
     g = Graph.from_edges(spark.createDataFrame([(0, 1, 0, 2.0), (1, 1, 0, 3.0)], EDGES), 2, True)
     dot.write_dot(g, str(tmp_path / "g"))
     assert open(tmp_path / "g").read().split("\n")[4:] == ["  0;", "  1;", "", '  1 -> 0 [label="2", color=gray50];', '  1 -> 0 [label="3", color=gray50];', "}", ""]
+
+
+def test_lines_of_a_split_file_keep_their_numbers(spark, tmp_path):
+    expected = [f"{k} -> {k + 1}\r" if k % 3 else "" for k in range(5000)]
+    text = spark.createDataFrame([*enumerate(expected)], "line_no long, line string")
+    dot.write_lines(text.repartition(5), f"{tmp_path}/a.dot")
+    assert (tmp_path / "a.dot").read_bytes() == "".join(f"{x}\n" for x in expected).encode()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = dot.read_lines(spark, f"{tmp_path}/a.dot")
+        assert lines.rdd.getNumPartitions() >= 1 and sorted(map(tuple, lines.collect())) == [*enumerate(expected)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
