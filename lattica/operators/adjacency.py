@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..plans.loops import with_rank
+from ..plans.loops import tasks_for, with_rank
 from ..plans.model import Graph
 
 
@@ -19,7 +19,8 @@ MOST_DENSE = 20_000
 def weights_of(graph: Graph, pairs: DataFrame) -> DataFrame:
     """pairs(u, v) with w: the weight of the first edge from u to v in edge order, 0.0 for none and for vertices out of
     range. Only arcs that are asked for are aggregated."""
-    asked = graph.arcs().join(pairs.select("u", "v").distinct(), ["u", "v"], "left_semi")
+    arcs = graph.arcs()
+    asked = arcs.repartition(tasks_for(arcs), "u", "v").join(pairs.select("u", "v").distinct(), ["u", "v"], "left_semi")
     first = asked.groupBy("u", "v").agg(F.min_by("w", "eid").alias("w"))
     return pairs.join(first, ["u", "v"], "left").select("u", "v", F.coalesce("w", F.lit(0.0)).alias("w"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ImmutableGraph, InvalidArgument
-from .loops import ensure_checkpoint_dir, kept
+from .loops import ensure_checkpoint_dir, kept, tasks_for
 
 EDGES = "eid long, src long, dst long, w double"
 OPERATIONS = "seq long, kind string, u long, v long, w double"
@@ -46,6 +46,7 @@ def canonical(operations: DataFrame, directed: bool) -> DataFrame:
     spills there if it must.
     """
     keyed = operations.select("seq", "kind", *pair(directed), "w")
+    keyed = keyed.repartition(tasks_for(keyed), "src", "dst")
     removed = F.coalesce(F.max(F.when(F.col("kind") == "remove", F.col("seq"))).over(W.partitionBy("src", "dst")), F.lit(-1))
     live = keyed.withColumn("_removed", removed).where((F.col("kind") == "add") & (F.col("seq") > F.col("_removed")))
     return live.groupBy("src", "dst").agg(F.min("seq").alias("eid"), F.max_by("w", "seq").alias("w")).select("eid", "src", "dst", "w")
@@ -103,7 +104,9 @@ class Graph:
         if self.policy != "star" or policy == "star":
             return Graph(self.edges, self.n, self.directed, policy)
         adds = self.edges.select(F.col("eid").alias("seq"), F.col("src").alias("u"), F.col("dst").alias("v"), "w")
-        merged = adds.select("seq", *pair(self.directed), "w").groupBy("src", "dst").agg(F.min("seq").alias("eid"), F.max_by("w", "seq").alias("w"))
+        keyed = adds.select("seq", *pair(self.directed), "w")
+        # dealt before they are grouped: a map task's partial sums would hold nearly all of its rows
+        merged = keyed.repartition(tasks_for(keyed), "src", "dst").groupBy("src", "dst").agg(F.min("seq").alias("eid"), F.max_by("w", "seq").alias("w"))
         return Graph(merged.select("eid", "src", "dst", "w"), self.n, self.directed, policy)
 
     def _mutable(self, u: int, v: int, w: float = 1.0) -> None:

@@ -1,6 +1,7 @@
 """Contracts of the graph model, traversals, orders and forests; traversals against sequential ones on random graphs."""
 
 import random
+import re
 from collections import deque
 
 import pyarrow as pa
@@ -314,3 +315,12 @@ def test_depth_first_arcs_take_four_bytes():
     found = zip(*(c.tolist() for c in traverse.walk_depths(head, to, 0)), strict=True)
     reached = {v: (dist, parent, k) for k, (v, dist, parent) in enumerate(found)}
     assert sorted((v, *reached.get(v, (-1, -1, -1))) for v in range(50)) == plain_dfs(out, 0)
+
+
+def test_groups_are_dealt_to_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(loops, "TASK_BYTES", 500)
+    log = loops.kept(spark.range(5000).selectExpr("id as seq", "'add' as kind", "id % 97 as u", "id % 89 as v", "1.0D as w").repartition(1))
+    assert 20 < loops.tasks_for(log) < 1000
+    for edges in (Graph.from_operations(log, 100, True).edges, Graph.from_edges(log.selectExpr("seq as eid", "u as src", "v as dst", "w"), 100, False).with_policy("list").edges):
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert max(int(x) for x in re.findall(r"hashpartitioning\(src#\d+L?, dst#\d+L?, (\d+)\)", plan)) > 20
